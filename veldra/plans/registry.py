@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from veldra.plans import dealt
+
+QUERIES: dict[str, Callable] = {**dealt.QUERIES}
 ORACLES: dict[str, str] = {}
 
 
