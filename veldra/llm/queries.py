@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import bpe, neighbours, packing, splitting
+from veldra.llm import bpe, neighbours, packing, similar, splitting
 from veldra.runtime import read_table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(spark, read_table(spark, d, "chunks"), words=3, t=0.6)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_pairs(spark, read_table(spark, d, "vector_store").select("row_id", "embedding"))
 
@@ -28,5 +32,5 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(spark, read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_bisect, p6_ids, p7_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_bisect, p6_ids, p7_containers)}
 ORACLES: dict[str, str] = {}
