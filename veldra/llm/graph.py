@@ -52,7 +52,7 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 
 
 class Graph:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, candidates: int = 24):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, candidates: int = 16):
         order = np.lexsort((ids, -levels_of(ids)))
         self.ids, self.v = ids[order], np.ascontiguousarray(vectors[order], np.float32)
         level = levels_of(self.ids)
@@ -163,7 +163,7 @@ class Graph:
             ids[active], near[active], open_[active] = (np.take_along_axis(x, at, 1) for x in (all_ids, all_near, all_open))
         return np.where(near > -2.0, ids, -1), near
 
-    def search(self, q: np.ndarray, k: int, ef: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, ef: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 for none) and similarities of the k nearest nodes of each query, best first."""
         out_ids, out_sims = [np.zeros((0, k), np.int64)], [np.zeros((0, k), np.float32)]
         ef = max(k, ef)
