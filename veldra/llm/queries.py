@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veldra.llm import bpe, neighbours, packing, similar, splitting
+from veldra.llm import bpe, neighbours, packing, residue, similar, splitting
 from veldra.runtime import read_table
 
 
@@ -32,5 +32,9 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(spark, read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_bisect, p6_ids, p7_containers)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(read_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_bisect, p6_ids, p7_containers, p8_found)}
 ORACLES: dict[str, str] = {}
