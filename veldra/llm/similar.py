@@ -1,10 +1,10 @@
 """Records that share most of their content (problem 2), exact under the Jaccard similarity of word shingle sets.
 
 1. A record becomes its set of hashed shingles; equal sets form a class, of which the lowest id goes on.
-2. Segment popcounts: the hash space is cut into ``SEGMENTS`` segments and a set is mapped to its number of hashes in each. The
+2. Segment popcounts: the hash space is cut into ``FINE`` segments and a set is mapped to its number of hashes in each. The
    Manhattan distance of two such maps is never above the number of hashes that only one of the sets has, and that is at most
    (1 - t) / (1 + t) of both sizes where the similarity is t or more. Their sum, the size, is the grid on which sets are joined by
-   range; the full distance then rules pairs out before any text is compared.
+   range; the distance over ``SEGMENTS`` joint segments, then over all, rules pairs out before any text is compared.
 3. With t = 0.6 and some 50 shingles a text the grid alone leaves near every pair, so it is laid out per shared shingle: sets of
    similarity t share one of their n - ceil(t n) + 1 first shingles in any common order. Here rare shingles come first, by the
    counts of a bounded sample (the order decides the cost, never the result). Shingles in very many sets are cut into blocks and
@@ -29,7 +29,8 @@ from veldra.functions.buffers import ranges
 from veldra.llm.shingles import mix, shingle_sets
 from veldra.runtime import broadcast_checked, materialize
 
-SEGMENTS = 32
+FINE, SEGMENTS = 128, 32
+KEY_BYTES = 5  # of a shingle's hash; equal keys of other shingles only cost a comparison
 MEMBERS = 32
 SAMPLE = 20_000
 COMMON = 200_000  # shingles of the sample whose count is kept
@@ -52,10 +53,10 @@ def _profile(texts: list[str | None], words: int, t: float, common: tuple[np.nda
     first = _starts(owner)
     places, n = owner[first], np.diff(np.append(first, len(owner)))
     if not len(first):
-        return places, *(np.zeros(0, np.uint64),) * 2, n, np.zeros((0, SEGMENTS // 2), np.uint8), s, n
+        return places, *(np.zeros(0, np.uint64),) * 2, n, np.zeros((0, FINE // 2), np.uint8), s, n
     h1, h2 = np.add.reduceat(mix(s, 0xD6E8FEB86659FD93), first), np.add.reduceat(mix(s, 0xA0761D6478BD642F), first)
     number = np.repeat(np.arange(len(first)), n)
-    seg = np.minimum(np.bincount(number * SEGMENTS + (s >> np.uint64(59)).astype(np.int64), minlength=len(first) * SEGMENTS), 15).astype(np.uint8).reshape(-1, SEGMENTS)
+    seg = np.minimum(np.bincount(number * FINE + (s >> np.uint64(57)).astype(np.int64), minlength=len(first) * FINE), 15).astype(np.uint8).reshape(-1, FINE)
     known, times = common
     seen = np.zeros(len(s), np.int64)
     if len(known):
@@ -83,7 +84,7 @@ def _sets(df: DataFrame, words: int, t: float, shared, full: bool) -> DataFrame:
                 at = pa.array(places)
                 columns = [part.column(0).take(at), part.column(1).take(at), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
                 if full:
-                    columns += [pa.array(n, pa.int32()), _binaries(seg.ravel(), np.full(len(n), SEGMENTS // 2)).cast(pa.binary()), _binaries(pre, lengths * 8).cast(pa.binary())]
+                    columns += [pa.array(n, pa.int32()), _binaries(seg.ravel(), np.full(len(n), FINE // 2)).cast(pa.binary()), _binaries(pre.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], lengths * KEY_BYTES).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "grp", "h1", "h2", "n", "seg", "pre"][: len(columns)])
 
     return df.mapInArrow(run, "id bigint, grp string, h1 bigint, h2 bigint" + ", n int, seg binary, pre binary" * full)
@@ -108,7 +109,27 @@ def _sample_counts(df: DataFrame, total: int, words: int) -> tuple[np.ndarray, n
     return s, times
 
 
-RECORD = np.dtype([("key", "u8"), ("id", "i8"), ("n", "u4"), ("pos", "u4"), ("block", "u2"), ("twin", "u2"), ("seg", "u1", (SEGMENTS // 2,))])
+#: A set under one of its first shingles. 32 bits of the key are kept beside the part, so false meetings stay as rare at any size.
+RECORD = np.dtype([("key", "u4"), ("id", "i8"), ("n", "u4"), ("pos", "u4"), ("block", "u2"), ("twin", "u2"), ("seg", "u1", (SEGMENTS // 2,))])
+
+
+def _counts(packed: np.ndarray) -> np.ndarray:
+    """Unpacked segment counts of rows of bytes."""
+    out = np.empty((len(packed), packed.shape[1] * 2), np.int8)
+    out[:, 0::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
+def _pack(r: np.ndarray) -> bytes:
+    """Compressed records, byte by byte of the fields, so that equal bytes stand together."""
+    planes = np.ascontiguousarray(r).view(np.uint8).reshape(len(r), RECORD.itemsize).T
+    return len(r).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], n * RECORD.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(RECORD.itemsize, n).T).view(RECORD).ravel()
 
 
 def _candidates(r: np.ndarray, t: float) -> np.ndarray:
@@ -127,8 +148,7 @@ def _candidates(r: np.ndarray, t: float) -> np.ndarray:
     wide = np.int64(1) << 32
     low = np.searchsorted(group * wide + n, group * wide + np.ceil(t * n - 1e-9).astype(np.int64))
     count = np.arange(len(r)) - low
-    seg = np.empty((len(r), SEGMENTS), np.int8)
-    seg[:, 0::2], seg[:, 1::2] = r["seg"] & 15, r["seg"] >> 4
+    seg = _counts(r["seg"])
     ids, block, twin = r["id"], r["block"], r["twin"]
     ends = np.cumsum(count)
     out, a = [np.zeros((0, 2), np.int64)], 0
@@ -149,6 +169,21 @@ def _candidates(r: np.ndarray, t: float) -> np.ndarray:
     return np.unique(found, axis=0) if len(found) else found
 
 
+def _near(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) that the distance over all segments leaves; ``sets``: id, n, seg."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            x, y = (_counts(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(m, FINE // 2)) for i in (4, 5))
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            ok = np.abs(x - y).sum(1, dtype=np.int64) <= both - 2 * np.ceil(t / (1 + t) * both - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok))
+
+    left, right = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("seg").alias(f"seg_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "seg_a", "seg_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, t: float) -> DataFrame:
     """Pairs (a, b) whose texts have the similarity."""
 
@@ -187,17 +222,25 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
+        known = known & np.uint64((1 << 8 * KEY_BYTES) - 1)
+        order = np.argsort(known)
+        known, times = known[order], times[order]
         for batch in batches:
             if not batch.num_rows:
                 continue
             pre = batch.column(3)
             cuts = np.frombuffer(pre.buffers()[1], np.int32)[pre.offset : pre.offset + len(pre) + 1]
-            s = np.frombuffer(pre.buffers()[2], np.uint64)[cuts[0] // 8 : cuts[-1] // 8]
-            many = np.diff(cuts) // 8
-            seg = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SEGMENTS // 2)
+            many = np.diff(cuts) // KEY_BYTES
+            wide = np.zeros((int(many.sum()), 8), np.uint8)
+            wide[:, :KEY_BYTES] = np.frombuffer(pre.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].reshape(-1, KEY_BYTES)
+            s = wide.view(np.uint64).ravel()
+            fine = _counts(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, FINE // 2))
+            joint = np.minimum(fine.reshape(-1, SEGMENTS, FINE // SEGMENTS).sum(2, dtype=np.int16), 15).astype(np.uint8)
+            seg = joint[:, 0::2] | (joint[:, 1::2] << 4)
             r = np.zeros(len(s), RECORD)
             row = np.repeat(np.arange(len(many)), many)
-            r["key"], r["id"], r["n"] = s, batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            key = s.copy()
+            r["id"], r["n"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
             r["pos"] = np.arange(len(s)) - np.repeat(np.cumsum(many) - many, many)
             r["seg"] = seg[row]
             if len(known):
@@ -207,24 +250,25 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
                 if hot.any():
                     h, w = r[hot], blocks[hot]
                     own = (mix(h["id"].astype(np.uint64)) % w.astype(np.uint64)).astype(np.int64)
-                    copies = np.repeat(h, w)
+                    copies, again = np.repeat(h, w), np.repeat(key[hot], w)
                     b, c = np.repeat(own, w), ranges(np.zeros(len(w), np.int64), w)
                     copies["block"], copies["twin"] = b, c
                     pair = (np.minimum(b, c) << 16 | np.maximum(b, c)).astype(np.uint64)
-                    copies["key"] = mix(copies["key"] + mix(pair + np.uint64(7)))
-                    r = np.concatenate([r[~hot], copies])
-            part = (mix(r["key"]) % np.uint64(parts)).astype(np.int64)
+                    r, key = np.concatenate([r[~hot], copies]), np.concatenate([key[~hot], mix(again + mix(pair + np.uint64(7)))])
+            key = mix(key)
+            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            r["key"] = key & np.uint64(0xFFFFFFFF)
             r = r[np.argsort(part, kind="stable")]
-            sizes = np.bincount(part, minlength=parts)
-            has = np.flatnonzero(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), _binaries(r.view(np.uint8), sizes[has] * RECORD.itemsize).cast(pa.binary())], ["part", "records"])
+            ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+            has = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([_pack(r[ends[i] : ends[i + 1]]) for i in has.tolist()], pa.binary())], ["part", "records"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                pairs = _candidates(np.frombuffer(b"".join(held), RECORD), t)
+                pairs = _candidates(np.concatenate([_unpack(x) for x in held]), t)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -237,7 +281,7 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
 
     reps = firsts.filter("rn = 1").select("id", "n", "seg", "pre")
     spread = reps.mapInArrow(keys, "part int, records binary").repartition(parts, "part").sortWithinPartitions("part")
-    candidates = materialize(spread.mapInArrow(join, "a bigint, b bigint").distinct(), "candidates")
+    candidates = materialize(_near(spread.mapInArrow(join, "a bigint, b bigint").distinct(), reps.select("id", "n", "seg"), t), "candidates")
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     pairs = _verified(candidates, df.select("id", "text").join(needed, "id", "left_semi"), words, t)
     full = classes.filter(F.size("members") > MEMBERS)
