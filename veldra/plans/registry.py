@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veldra.plans import dealt
+from veldra.plans import dealt, vectors
 
-QUERIES: dict[str, Callable] = {**dealt.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {**dealt.QUERIES, **vectors.QUERIES}
+ORACLES: dict[str, str] = {**vectors.ORACLES}
 
 
 def queries() -> dict[str, Callable]:
