@@ -37,6 +37,7 @@ COMMON = 200_000  # shingles of the sample whose count is kept
 BLOCK = 40_000  # sets with one shingle that are joined at once
 PART_KEYS = 400_000
 CHUNK = 400_000
+NEEDED = 500_000  # ids of a pair, up to which they are sent to the texts; beyond it the texts are shuffled to them
 
 
 def _starts(owner: np.ndarray) -> np.ndarray:
@@ -283,7 +284,7 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
     spread = reps.mapInArrow(keys, "part int, records binary").repartition(parts, "part").sortWithinPartitions("part")
     candidates = materialize(_near(spread.mapInArrow(join, "a bigint, b bigint").distinct(), reps.select("id", "n", "seg"), t), "candidates")
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    pairs = _verified(candidates, df.select("id", "text").join(needed, "id", "left_semi"), words, t)
+    pairs = _verified(candidates, df.select("id", "text").join(broadcast_checked(needed, NEEDED), "id", "left_semi"), words, t)
     full = classes.filter(F.size("members") > MEMBERS)
     if full.limit(1).count():
         narrow = _sets(df, words, t, shared, False).join(broadcast_checked(full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[MEMBERS]["id"].alias("last"))), ["h1", "h2"])
