@@ -20,8 +20,8 @@ def l2_squared(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit vector in DOUBLE; a zero vector stays as it is."""
-    size = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(1.0))
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))  # the length is computed once
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

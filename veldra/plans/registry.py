@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veldra.plans import dealt, vectors
+from veldra.plans import chunks, dealt, feeds, vectors
 
-QUERIES: dict[str, Callable] = {**dealt.QUERIES, **vectors.QUERIES}
-ORACLES: dict[str, str] = {**vectors.ORACLES}
+QUERIES: dict[str, Callable] = {**dealt.QUERIES, **vectors.QUERIES, **chunks.QUERIES, **feeds.QUERIES}
+ORACLES: dict[str, str] = {**vectors.ORACLES, **chunks.ORACLES, **feeds.ORACLES}
 
 
 def queries() -> dict[str, Callable]:

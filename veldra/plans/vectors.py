@@ -85,7 +85,7 @@ def knn_exact(spark, d):
 
 def knn_batch(spark, d):
     """Neighbours other than the query itself, with unequal lengths: cosine, the filter before the top k."""
-    long = lambda c: F.transform("embedding", lambda x: x * (1 + F.col(c) % 7).cast("float"))
+    long = lambda c: F.transform("embedding", lambda x: x.cast("double") * (1 + F.col(c) % 7))
     queries = _asked(spark, d).withColumn("tag", F.col("query_id")).select("query_id", long("query_id").alias("embedding"), "tag")
     vectors = _vectors(spark, d).select("vec_id", long("vec_id").alias("embedding"), F.col("vec_id").alias("tag"))
     return _ranked(knn.search(queries, vectors, K, DIM, normalized=False, differ="tag"))
