@@ -29,11 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage is cut, and later plans prune columns.
 
-    The files survive the loss of executors and are removed when the JVM ends.
+    The files survive the loss of executors and are removed when the JVM ends. The shuffle files of the plan that was written have
+    served; a collection on the driver lets Spark's cleaner free their disk before the next stage needs it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldra-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
