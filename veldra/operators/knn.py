@@ -33,7 +33,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, id_col: str
     vb, qb = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
     extra = same or differ
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    side = lambda df, key: df.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim)).select(F.col(key).cast("long").alias("id"), vector_col, (F.col(extra).cast("long") if extra else F.lit(0).cast("long")).alias("tag"))
+    side = lambda df, key: df.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim)).select(F.col(key).cast("long").alias("id"), F.col(vector_col).alias("vec"), (F.col(extra).cast("long") if extra else F.lit(0).cast("long")).alias("tag"))
     left = side(queries, query_col).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")).withColumn("v", spread(vb))
     right = side(vectors, id_col).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(vb)).cast("int")).withColumn("q", spread(qb))
 
@@ -41,7 +41,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, id_col: str
         empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not a.num_rows or not b.num_rows:
             return empty
-        x, y = matrix(a["embedding"] if "embedding" in a.column_names else a[1], dim), matrix(b[1], dim)
+        x, y = matrix(a["vec"], dim), matrix(b["vec"], dim)
         ids = b["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         y, ids, tags = y[order], ids[order], b["tag"].to_numpy()[order]

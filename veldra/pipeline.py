@@ -18,7 +18,7 @@ from veldra.sources.documents import with_defaults
 STORE = "row_id bigint, doc_id string, chunk_id int, text string, token_start bigint, token_end bigint, metadata map<string,string>, embedding array<float>, norm float"
 
 
-def make_index(kind: str, dim: int, **params):
+def make_index(kind: str, dim: int, /, **params):
     """Search function ``(queries, vectors, k)`` of an index: exact, ivf or hnsw."""
     if kind == "exact":
         return lambda q, v, k: knn.search(q, v, k, dim, id_col="row_id")
@@ -27,7 +27,9 @@ def make_index(kind: str, dim: int, **params):
     if kind == "ivf":
 
         def search(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
-            lists = max(1, min(params.get("lists", 4096), v.count()))
+            lists = min(params.get("lists", 4096), v.count())
+            if not lists:
+                return knn.search(q, v, k, dim, id_col="row_id")
             return ivf.search(q, v, ivf.fit(v, lists, params.get("rounds", 20), id_col="row_id"), k, params.get("probes", 16), id_col="row_id")
 
         return search
