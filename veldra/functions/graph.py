@@ -1,7 +1,8 @@
 """Hierarchical navigable small-world graphs over one shard, held as flat neighbour arrays and searched many queries at a time.
 
 Nodes are ordered by falling level, so every layer is a prefix of the nodes. A layer is one int32 array: a row holds a node's own
-links, chosen diverse among its candidates, and then the closest links that later nodes made to it. Inserting and searching run
+links, chosen diverse among its candidates, then the closest links that later nodes made to it, and last the nodes it has adopted:
+every node is taken in by the closest earlier one with room, and such a link is never given up, so all nodes stay reachable. Inserting and searching run
 over batches of nodes with array operations; layers of up to ``EXACT`` nodes are linked from all pairs of their own.
 """
 
@@ -9,9 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-OWN, BACK, BATCH, EXACT = 12, 20, 512, 2048
+OWN, BACK, KIDS, BATCH, EXACT = 12, 14, 6, 512, 2048
 #: One of this many nodes of a layer is in the layer above.
 RATIO = 8
+DEEPER = 4
 TOP = 256
 
 
@@ -52,7 +54,11 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 
 
 class Graph:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, candidates: int = 16):
+    """``loose``: a node or query that finds less than this similarity is searched again ``DEEPER`` times as broadly, since a small
+    group of vectors can lie hidden behind a large one that fills the first search."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, candidates: int = 16, loose: float = -2.0):
+        self.loose = loose
         order = np.lexsort((ids, -levels_of(ids)))
         self.ids, self.v = ids[order], np.ascontiguousarray(vectors[order], np.float32)
         level = levels_of(self.ids)
@@ -67,7 +73,8 @@ class Graph:
         size = self.sizes[n]
         own = np.full((size, OWN), -1, np.int32)
         back, near = np.full((size, BACK), -1, np.int32), np.full((size, BACK), -2.0, np.float32)
-        self.layers[n] = flat = np.full((size, OWN + BACK), -1, np.int32)
+        kids = np.zeros(size, np.int64)
+        self.layers[n] = flat = np.full((size, OWN + BACK + KIDS), -1, np.int32)
         for a in range(0, size, BATCH):
             b = min(a + BATCH, size)
             rows = np.arange(a, b)
@@ -76,7 +83,7 @@ class Graph:
                 ids = np.broadcast_to(np.arange(b, dtype=np.int32), (b - a, b))
                 sims = block @ self.v[:b].T
             else:
-                found, close = self._layer(n, block, self._entries(n, block), candidates, a)
+                found, close = self._thorough(n, block, candidates, a, 0)
                 ids = np.concatenate([found, np.broadcast_to(rows.astype(np.int32), (b - a, b - a))], 1)
                 sims = np.concatenate([close, block @ block.T], 1)
             sims = np.where((ids == rows[:, None]) | (ids < 0), -2.0, sims)
@@ -85,6 +92,20 @@ class Graph:
             ids = np.where(sims > -2.0, np.take_along_axis(ids, at, 1), -1)
             own[a:b] = np.pad(_diverse(self.v, ids, sims, OWN), ((0, 0), (0, max(0, OWN - ids.shape[1]))), constant_values=-1)[:, :OWN]
             flat[a:b, :OWN] = own[a:b]
+            # adoption by the closest earlier node with room
+            alone = np.arange(b - a) + a > 0
+            for c in range(ids.shape[1]):
+                child = np.flatnonzero(alone & (ids[:, c] >= 0) & (ids[:, c] < rows))
+                if not len(child):
+                    continue
+                child = child[np.argsort(ids[child, c], kind="stable")]
+                parent = ids[child, c]
+                fresh = np.append(True, parent[1:] != parent[:-1])
+                slot = kids[parent] + np.arange(len(child)) - np.maximum.accumulate(np.where(fresh, np.arange(len(child)), 0))
+                room = slot < KIDS
+                flat[parent[room], OWN + BACK + slot[room]] = rows[child[room]]
+                np.add.at(kids, parent[room], 1)
+                alone[child[room]] = False
             # links back
             src, dst = np.repeat(rows, ids.shape[1]), ids.ravel()
             s = sims.ravel()
@@ -102,7 +123,7 @@ class Graph:
             both_ids, both_near = np.concatenate([back[target], new_ids], 1), np.concatenate([near[target], new_near], 1)
             at = _best(both_near, BACK)
             back[target], near[target] = np.take_along_axis(both_ids, at, 1), np.take_along_axis(both_near, at, 1)
-            flat[target, OWN:] = back[target]
+            flat[target, OWN : OWN + BACK] = back[target]
 
     def _entries(self, n: int, q: np.ndarray, breadth: int = 6) -> np.ndarray:
         """Nodes from which layer n is entered: the best of the layers above."""
@@ -163,6 +184,16 @@ class Graph:
             ids[active], near[active], open_[active] = (np.take_along_axis(x, at, 1) for x in (all_ids, all_near, all_open))
         return np.where(near > -2.0, ids, -1), near
 
+    def _thorough(self, n: int, q: np.ndarray, ef: int, below: int | None, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """Search of a layer, again and broader where the similarity at ``place`` of the result is under ``loose``."""
+        entries = self._entries(n, q)
+        found, near = self._layer(n, q, entries, ef, below)
+        weak = np.flatnonzero(near[:, place] < self.loose)
+        if len(weak):
+            ids, sims = self._layer(n, q[weak], entries[weak], ef * DEEPER, below)
+            found[weak], near[weak] = ids[:, :ef], sims[:, :ef]
+        return found, near
+
     def search(self, q: np.ndarray, k: int, ef: int = 16) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 for none) and similarities of the k nearest nodes of each query, best first."""
         out_ids, out_sims = [np.zeros((0, k), np.int64)], [np.zeros((0, k), np.float32)]
@@ -174,7 +205,7 @@ class Graph:
                 at = _best(sims, min(k, self.sizes[0]))
                 found, near = at, np.take_along_axis(sims, at, 1)
             else:
-                found, near = self._layer(0, block, self._entries(0, block), ef)
+                found, near = self._thorough(0, block, ef, None, min(1, k - 1))
             found, near = found[:, :k], near[:, :k]
             short = k - found.shape[1]
             if short > 0:
