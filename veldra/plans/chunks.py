@@ -55,6 +55,14 @@ def chunk_semantic(spark, d):
     return _long(chunking.chunk(_docs(spark, d), "semantic"), "chunk_id")
 
 
+def heading_split(spark, d):
+    """Parts of documents that begin at headings, whole."""
+    parts = F.split("text", r"\n(?=#+ |== )", -1)
+    rows = _docs(spark, d).filter("length(text) > 0").select("doc_id", F.posexplode(parts).alias("pos", "part"))
+    heading = F.regexp_extract("part", r"^(?:#+|==) ([^\n]*)", 1)
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), heading.alias("heading"), F.length("part").cast("bigint").alias("chars"))
+
+
 def _first_chunks(spark, d) -> DataFrame:
     """One vector of each chunk of each document: that of the lowest row."""
     rows = read_table(spark, d, "chunks").filter("doc_id is not null and chunk_id is not null").select("row_id", "doc_id", "chunk_id")
@@ -210,7 +218,7 @@ def coerce_literal(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        token_estimate, chunk_fixed, chunk_recursive, chunk_with_metadata, chunk_stats, sentences, chunk_semantic, semantic_boundaries, semantic_segments, embed_hashing, e5_prefix, rerank_lexical, prompt_budget,
+        token_estimate, chunk_fixed, chunk_recursive, chunk_with_metadata, chunk_stats, sentences, chunk_semantic, heading_split, semantic_boundaries, semantic_segments, embed_hashing, e5_prefix, rerank_lexical, prompt_budget,
         prompt_replug, prompt_rag_sequence, prompt_fid, fallback_answer, coverage_bands, query_expand, append_row_ids, hit_metadata_join, json_encode, json_open_tail, scan_jsonl, doc_defaults, format_hits, result_envelope, coerce_literal,
     )
 }
@@ -269,6 +277,7 @@ ORACLES = {
     "chunk_with_metadata": f"SELECT doc_id, lang, source, chunk_id, len(chunk) AS chars FROM ({_windows(1000, 900, 'doc_id, lang, source')})",
     "chunk_stats": f"SELECT (SELECT count(*) FROM documents WHERE len(text) > 0) AS docs, count(*) AS chunks, (sum(len(chunk)) // greatest(count(*), 1))::BIGINT AS mean_chars FROM ({_CHUNKED})",
     "sentences": f"SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_SPLIT} AS s FROM documents WHERE len(text) > 0)",
+    "heading_split": r"SELECT doc_id, pos, regexp_extract(part, '^(?:#+|==) ([^\n]*)', 1) AS heading, len(part) AS chars FROM (SELECT doc_id, unnest(range(0, len(p))) AS pos, unnest(p) AS part FROM (SELECT doc_id, string_split(regexp_replace(text, '\n(#+ |== )', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents WHERE len(text) > 0))",
     "semantic_boundaries": f"WITH {_SIMS} SELECT doc_id, chunk_id, round(sim, 6) AS sim, coalesce(sim < 0.5, true) AS boundary FROM s",
     "semantic_segments": f"WITH {_SIMS} SELECT doc_id, chunk_id, (sum(CASE WHEN coalesce(sim < 0.5, true) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_id))::BIGINT AS segment FROM s",
     "embed_hashing": f"WITH dv AS ({_HASHED.format('text', id='doc_id', source='documents')}) SELECT id AS doc_id, pos, round(x / n, 6) AS x FROM dv JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY id) USING (id) WHERE x <> 0",

@@ -99,6 +99,16 @@ def knn_exclude(spark, d):
     return _ranked(knn.search(_asked(spark, d), _vectors(spark, d), K, DIM, differ="label"))
 
 
+def multi_query(spark, d):
+    """Several queries of one group merged: the best score of each vector over the queries of a label, ten a label."""
+    found = knn.search(_asked(spark, d), _vectors(spark, d), K, DIM)
+    groups = _asked(spark, d).select("query_id", F.col("label").alias("topic"))
+    best = found.join(groups, "query_id").groupBy("topic", "id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("topic").orderBy(F.desc(F.round("score", 9)), "id")
+    ranked = best.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")).filter(F.col("rank") < K)
+    return ranked.select("topic", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def knn_graph(spark, d):
     """Edges to the eight closest others of every query vector, with those that point back marked."""
     asked = _asked(spark, d).withColumn("tag", F.col("query_id"))
@@ -198,7 +208,7 @@ def graph_expand(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dot_products, l2_distance, cosine_unnormalized, vector_norms, normalize, vector_scan_stats, vector_lookup, mean_pool, knn_exact, knn_batch, knn_filtered, knn_exclude, knn_graph, ivf_assign, ivf_postings,
+        dot_products, l2_distance, cosine_unnormalized, vector_norms, normalize, vector_scan_stats, vector_lookup, mean_pool, knn_exact, knn_batch, knn_filtered, knn_exclude, multi_query, knn_graph, ivf_assign, ivf_postings,
         ivf_list_sizes, kmeans_step, kmeans_3, kmeans_shift, ivf_probe, ivf_search, ivf_roundtrip, recall_at_k, hnsw_levels, hnsw_search, graph_expand,
     )
 }
@@ -252,6 +262,7 @@ ORACLES = {
     "knn_batch": f"WITH {_ASKED} {_top(f'SELECT query_id, vec_id, {_LONG_DOT} / (sqrt({_DOT.format("qe", "qe")}) * (1 + query_id % 7) * sqrt({_DOT.format("embedding", "embedding")}) * (1 + vec_id % 7)) AS score FROM q, embeddings WHERE vec_id <> query_id')}",
     "knn_filtered": f"WITH {_ASKED} {_top(_search('label = ql'))}",
     "knn_exclude": f"WITH {_ASKED} {_top(_search('label <> ql'))}",
+    "multi_query": f"WITH {_ASKED}, x AS ({_top(_search())}), m AS (SELECT q.ql AS topic, x.vec_id, max(x.score) AS score FROM x JOIN q USING (query_id) GROUP BY 1, 2) SELECT topic, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, vec_id) - 1 AS rank FROM m) WHERE rank < {K}",
     "knn_graph": f"WITH {_ASKED}, e AS (SELECT query_id AS src, vec_id AS dst FROM ({_top(_search('vec_id <> query_id'), 8)})) SELECT e.src, e.dst, b.src IS NOT NULL AS mutual FROM e LEFT JOIN e b ON b.src = e.dst AND b.dst = e.src",
     "ivf_assign": f"WITH {_C0}, {_assigned(0)} SELECT vec_id, cid FROM a0",
     "ivf_postings": f"WITH {_C0}, {_assigned(0)} SELECT cid, row_number() OVER (PARTITION BY cid ORDER BY vec_id) - 1 AS pos, vec_id FROM a0",
