@@ -67,7 +67,7 @@ def vector_scan_stats(spark, d):
 def vector_lookup(spark, d):
     """Vectors looked up by the row numbers of a key table: those of chunks that begin a document."""
     keys = read_table(spark, d, "chunks").filter("chunk_id = 0").select("row_id")
-    return read_table(spark, d, "vector_store").join(keys, "row_id", "left_semi").select("row_id", "doc_row", "chunk_offset", F.round(F.col("norm").cast("double"), 5).alias("norm"))
+    return read_table(spark, d, "vector_store").join(keys, "row_id", "left_semi").select("row_id", "doc_row", "chunk_offset", F.when(~F.isnan("norm"), F.round(F.col("norm").cast("double"), 5)).alias("norm"))
 
 
 def mean_pool(spark, d):
@@ -104,7 +104,7 @@ def multi_query(spark, d):
     found = knn.search(_asked(spark, d), _vectors(spark, d), K, DIM)
     groups = _asked(spark, d).select("query_id", F.col("label").alias("topic"))
     best = found.join(groups, "query_id").groupBy("topic", "id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("topic").orderBy(F.desc(F.round("score", 9)), "id")
+    w = Window.partitionBy("topic").orderBy(F.desc(F.round("score", 6)), "id")
     ranked = best.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")).filter(F.col("rank") < K)
     return ranked.select("topic", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
@@ -256,7 +256,7 @@ ORACLES = {
     "vector_norms": f"SELECT vec_id, round(sqrt({_DOT.format('embedding', 'embedding')}), 6) AS norm FROM embeddings",
     "normalize": f"SELECT vec_id, unnest(range(0, {DIM})) AS pos, round(CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE unnest(embedding::DOUBLE[]) / sqrt({_DOT.format('embedding', 'embedding')}) END, 6) AS x FROM embeddings",
     "vector_scan_stats": "SELECT count(*) AS n, count_if(embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)::BIGINT AS usable, count_if(embedding IS NULL)::BIGINT AS nulls, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM vector_store",
-    "vector_lookup": "SELECT row_id, doc_row, chunk_offset, round(norm::DOUBLE, 5) AS norm FROM vector_store WHERE row_id IN (SELECT row_id FROM chunks WHERE chunk_id = 0)",
+    "vector_lookup": "SELECT row_id, doc_row, chunk_offset, CASE WHEN NOT isnan(norm) THEN round(norm::DOUBLE, 5) END AS norm FROM vector_store WHERE row_id IN (SELECT row_id FROM chunks WHERE chunk_id = 0)",
     "mean_pool": f"SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(0, {DIM})) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, pos",
     "knn_exact": f"WITH {_ASKED} {_top(_search())}",
     "knn_batch": f"WITH {_ASKED} {_top(f'SELECT query_id, vec_id, {_LONG_DOT} / (sqrt({_DOT.format("qe", "qe")}) * (1 + query_id % 7) * sqrt({_DOT.format("embedding", "embedding")}) * (1 + vec_id % 7)) AS score FROM q, embeddings WHERE vec_id <> query_id')}",
