@@ -37,4 +37,25 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_bisect, p6_ids, p7_containers, p8_found)}
-ORACLES: dict[str, str] = {}
+_LF, _CR = "chr(10)", "chr(13)"
+_ENDS = "list_filter(range(1, len(text) + 1), lambda e: {})"
+_IN = "list_max(list_filter({}, lambda x: x BETWEEN s + 257 AND s + 512))"
+
+ORACLES: dict[str, str] = {
+    "p2_found": """
+        WITH w AS (SELECT row_id, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        s AS (SELECT DISTINCT row_id, doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+        n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id),
+        c AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+        SELECT row_a, row_b FROM c JOIN n x ON x.row_id = row_a JOIN n y ON y.row_id = row_b WHERE k * 10 >= 6 * (x.n + y.n - k)""",
+    "p4_found": f"""
+        WITH RECURSIVE t AS (SELECT row_id, len(text) AS n,
+            {_ENDS.format(f"substring(text, e - 1, 2) = {_LF} || {_LF} AND e > 1 OR substring(text, e - 2, 3) = {_LF} || {_CR} || {_LF} AND e > 2")} AS blank,
+            {_ENDS.format(f"substring(text, e, 1) = {_LF}")} AS feed,
+            {_ENDS.format("e > 1 AND substring(text, e - 1, 1) IN ('.', '!', '?') AND substring(text, e, 1) IN (' ', chr(9)) OR substring(text, e, 1) IN ('。', '！', '？')")} AS stop,
+            {_ENDS.format("substring(text, e, 1) IN (' ', chr(9))")} AS gap
+            FROM chunks WHERE len(text) > 512),
+        p AS (SELECT row_id, 0 AS piece_no, 0::BIGINT AS s, CASE WHEN n <= 512 THEN n ELSE coalesce({_IN.format("blank")}, {_IN.format("feed")}, {_IN.format("stop")}, {_IN.format("gap")}, s + 512) END AS e FROM (SELECT *, 0::BIGINT AS s FROM t)
+            UNION ALL SELECT row_id, piece_no, s, CASE WHEN n - s <= 512 THEN n ELSE coalesce({_IN.format("blank")}, {_IN.format("feed")}, {_IN.format("stop")}, {_IN.format("gap")}, s + 512) END FROM (SELECT t.*, p.piece_no + 1 AS piece_no, p.e - 50 AS s FROM p JOIN t USING (row_id) WHERE p.e < t.n))
+        SELECT row_id, piece_no, s::INTEGER AS char_start, e::INTEGER AS char_end FROM p""",
+}
