@@ -32,8 +32,8 @@ from veldra.runtime import broadcast_checked, materialize
 FINE, SEGMENTS = 128, 32
 KEY_BYTES = 5  # of a shingle's hash; equal keys of other shingles only cost a comparison
 MEMBERS = 32
-SAMPLE = 20_000
-COMMON = 200_000  # shingles of the sample whose count is kept
+SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_SHARE = 20_000, 100_000, 15  # records of the sample: one of SAMPLE_SHARE within these bounds
+COMMON = 500_000  # shingles of the sample whose count is kept
 BLOCK = 40_000  # sets with one shingle that are joined at once
 PART_KEYS = 400_000
 CHUNK = 400_000
@@ -91,6 +91,10 @@ def _sets(df: DataFrame, words: int, t: float, shared, full: bool) -> DataFrame:
     return df.mapInArrow(run, "id bigint, grp string, h1 bigint, h2 bigint" + ", n int, seg binary, pre binary" * full)
 
 
+def sample_size(total: int) -> int:
+    return min(max(total // SAMPLE_SHARE, SAMPLE_LEAST), SAMPLE_MOST)
+
+
 def _sample_counts(df: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in more than one record of a bounded sample, with their counts; the ``COMMON`` most frequent."""
 
@@ -99,8 +103,9 @@ def _sample_counts(df: DataFrame, total: int, words: int) -> tuple[np.ndarray, n
             _, s = shingle_sets(batch.column(0).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()])], ["s"])
 
-    part = min(1.0, 1.1 * SAMPLE / max(total, 1))
-    texts = df.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(part * 1_000_003)).select("text").limit(SAMPLE)
+    size = sample_size(total)
+    part = min(1.0, 1.1 * size / max(total, 1))
+    texts = df.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(part * 1_000_003)).select("text").limit(size)
     blobs = [r["s"] for r in texts.mapInArrow(run, "s binary").collect()]
     s, times = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_counts=True)
     s, times = s[times > 1], times[times > 1]
@@ -219,7 +224,7 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
     classes = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("id", "grp"))).alias("members"))
     classes = classes.select("h1", "h2", F.col("members")[0]["id"].alias("id"), "members")
     parts = int(np.clip(round(total * 20 / PART_KEYS), 8, 8192))
-    grown = total / max(min(total, SAMPLE), 1)
+    grown = total / max(min(total, sample_size(total)), 1)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
