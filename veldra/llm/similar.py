@@ -127,7 +127,9 @@ def _counts(packed: np.ndarray) -> np.ndarray:
 
 
 def _pack(r: np.ndarray) -> bytes:
-    """Compressed records, byte by byte of the fields, so that equal bytes stand together."""
+    """Compressed records in order of id, the steps from id to id, byte by byte of the fields, so that equal bytes stand together."""
+    r = r[np.argsort(r["id"], kind="stable")]
+    r["id"][1:] -= r["id"][:-1].copy()
     planes = np.ascontiguousarray(r).view(np.uint8).reshape(len(r), RECORD.itemsize).T
     return len(r).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
@@ -135,7 +137,9 @@ def _pack(r: np.ndarray) -> bytes:
 def _unpack(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
     planes = np.frombuffer(pa.decompress(blob[8:], n * RECORD.itemsize, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(RECORD.itemsize, n).T).view(RECORD).ravel()
+    r = planes.reshape(RECORD.itemsize, n).T.copy().view(RECORD).ravel()
+    r["id"] = np.cumsum(r["id"])
+    return r
 
 
 def _candidates(r: np.ndarray, t: float) -> np.ndarray:
@@ -219,8 +223,12 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
     counted = _sample_counts(df, total, words)
     shared = spark.sparkContext.broadcast(counted)  # at most COMMON
     order = Window.partitionBy("h1", "h2").orderBy("id")
-    firsts = _sets(df, words, t, shared, True).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MEMBERS + 1)
-    firsts = materialize(firsts.withColumns({c: F.expr(f"if(rn = 1, {c}, null)") for c in ("n", "seg", "pre")}), "sets")
+    sets = materialize(_sets(df, words, t, shared, True), "sets")
+    firsts = sets.select("id", "grp", "h1", "h2").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MEMBERS + 1)
+    firsts = materialize(firsts, "firsts")
+    # copies leave by their ids, so that the sets themselves need no shuffle while copies are few
+    copies = materialize(sets.select("id").join(firsts.filter("rn = 1").select("id"), "id", "left_anti"), "copies")
+    reps = sets.join(broadcast_checked(copies, NEEDED), "id", "left_anti").select("id", "n", "seg", "pre")
     classes = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("id", "grp"))).alias("members"))
     classes = classes.select("h1", "h2", F.col("members")[0]["id"].alias("id"), "members")
     parts = int(np.clip(round(total * 20 / PART_KEYS), 8, 8192))
@@ -285,14 +293,13 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
                 held.append(records)
         yield from close()
 
-    reps = firsts.filter("rn = 1").select("id", "n", "seg", "pre")
     spread = reps.mapInArrow(keys, "part int, records binary").repartition(parts, "part").sortWithinPartitions("part")
     candidates = materialize(_near(spread.mapInArrow(join, "a bigint, b bigint").distinct(), reps.select("id", "n", "seg"), t), "candidates")
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     pairs = _verified(candidates, df.select("id", "text").join(broadcast_checked(needed, NEEDED), "id", "left_semi"), words, t)
     full = classes.filter(F.size("members") > MEMBERS)
     if full.limit(1).count():
-        narrow = _sets(df, words, t, shared, False).join(broadcast_checked(full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[MEMBERS]["id"].alias("last"))), ["h1", "h2"])
+        narrow = sets.select("id", "grp", "h1", "h2").join(broadcast_checked(full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[MEMBERS]["id"].alias("last"))), ["h1", "h2"])
         beyond = narrow.filter(F.col("id") > F.col("last")).select("id", "grp", "rep")
     else:
         beyond = classes.filter("false").select("id", F.lit("").alias("grp"), F.col("id").alias("rep"))
