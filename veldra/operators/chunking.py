@@ -67,15 +67,13 @@ def fold_segments(segments: Column, least: int, most: int) -> Column:
     return F.aggregate(segments, none, step)
 
 
-def semantic(text: Column, some: Column, vectors: Column, threshold: float = 0.5, least: int = 100, most: int = 1000) -> Column:
-    """Chunks of sentences of like meaning; ``some``: the sentences of the text as a column of their own, ``vectors``: their unit vectors."""
-    from veldra.functions.vec import dot
-
+def semantic(text: Column, some: Column, steps: Column, threshold: float = 0.5, least: int = 100, most: int = 1000) -> Column:
+    """Chunks of sentences of like meaning; ``some``: the sentences of the text as a column of their own, ``steps``: the similarity of each to the one before."""
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(a: Column, i: Column) -> Column:
         sentence = F.get(some, i)
-        split = (i > 0) & (dot(F.get(vectors, i), F.get(vectors, i - 1)) < threshold)
+        split = (i > 0) & (F.get(steps, i) < threshold)
         fresh = F.struct(F.array_append(a["done"], a["open"]).alias("done"), sentence.alias("open"))
         more = F.struct(a["done"].alias("done"), F.concat_ws(" ", a["open"], sentence).alias("open"))
         return F.when(split, fresh).otherwise(more)
@@ -97,19 +95,22 @@ def chunk(df: DataFrame, strategy: str = "recursive", text_col: str = "text", ke
     return number_chunks(rows, keep)
 
 
-def semantic_chunks(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), embed=None, **params) -> DataFrame:
-    """Semantic chunks; ``embed`` maps a column of sentence arrays to one of vector arrays (hashed words by default)."""
+def semantic_chunks(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), steps=None, **params) -> DataFrame:
+    """Semantic chunks; ``steps`` maps a column of sentence arrays to the similarities of neighbours (of hashed words by default)."""
     from veldra.functions.text import sentences
-    from veldra.operators.embed import hash_sentences
+    from veldra.operators.embed import hash_steps
 
     rows = df.filter(F.length(text_col) > 0).select(*keep, F.col(text_col).alias("_text"), sentences(F.col(text_col)).alias("_some"))
-    rows = rows.withColumn("_vectors", (embed or hash_sentences)(F.col("_some")))
-    return number_chunks(rows.select(*keep, semantic(F.col("_text"), F.col("_some"), F.col("_vectors"), **params).alias("chunks")), keep)
+    rows = rows.withColumn("_steps", (steps or hash_steps)(F.col("_some")))
+    return number_chunks(rows.select(*keep, semantic(F.col("_text"), F.col("_some"), F.col("_steps"), **params).alias("chunks")), keep)
 
 
 def number_chunks(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Numbered rows of an array column ``chunks``; offsets are folded within the array, without a window."""
+    """Numbered rows of an array column ``chunks`` that is never empty; offsets are folded within the array, without a window.
+
+    The outer form of the explode keeps the optimizer from inferring a filter on the array's size, which would evaluate it twice.
+    """
     sizes = F.transform("chunks", lambda c: F.expr("0L") + F.floor(F.length(c) / 4))
     starts = F.aggregate(sizes, F.array(F.lit(0).cast("bigint")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    out = rows.withColumn("starts", starts).select(*keep, "starts", F.posexplode("chunks").alias("chunk_id", "chunk"))
+    out = rows.withColumn("starts", starts).select(*keep, "starts", F.posexplode_outer("chunks").alias("chunk_id", "chunk"))
     return out.select(*keep, "chunk_id", "chunk", F.get("starts", F.col("chunk_id")).alias("token_start"), F.get("starts", F.col("chunk_id") + 1).alias("token_end"))

@@ -42,15 +42,18 @@ def hashing(text: Column, dim: int = 64) -> Column:
     return run(F.coalesce(text, F.lit("")))
 
 
-def hash_sentences(some: Column, dim: int = 64) -> Column:
-    """Vectors of an array of texts: ARRAY<ARRAY<DOUBLE>>."""
+def hash_steps(some: Column, dim: int = 64) -> Column:
+    """Similarity of each text of an array to the one before it, ARRAY<DOUBLE>; the first has 0."""
 
-    @F.pandas_udf("array<array<double>>")
+    @F.pandas_udf("array<double>")
     def run(lists: pd.Series) -> pd.Series:
-        sizes = [0 if x is None else len(x) for x in lists]
+        sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)
         flat = hash_texts([t for x in lists if x is not None for t in x], dim)
+        steps = np.zeros(len(flat))
+        steps[1:] = np.einsum("ij,ij->i", flat[1:], flat[:-1])
         ends = np.cumsum(sizes)
-        return pd.Series([[list(v) for v in flat[e - n : e]] for e, n in zip(ends, sizes)])
+        steps[(ends - sizes)[sizes > 0]] = 0.0
+        return pd.Series([steps[e - n : e] for e, n in zip(ends, sizes)])
 
     return run(some)
 
