@@ -70,6 +70,23 @@ def test_running_sum(spark):
     assert all(got[g, p] == sum(v for h, q, v in rows if h == g and q <= p) for g, p, _ in rows)
 
 
+def test_islands(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.randint(0, 20_000)) for g in "ab" for _ in range(150)] + [("a", 5), ("a", 5)]
+    got = {}
+    for r in ordered.islands(spark.createDataFrame(rows, "g string, p bigint"), "g", "p", 120, "i", span=300).collect():
+        got.setdefault((r["g"], r["i"]), []).append(r["p"])
+    want = []
+    for g in "ab":
+        last = None
+        for p in sorted(p for h, p in rows if h == g):
+            if last is None or p - last >= 120:
+                want.append([])
+            want[-1].append(p)
+            last = p
+    assert sorted(sorted(v) for v in got.values()) == sorted(want)
+
+
 def test_calls_in_window(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("ab"), rng.randint(0, 2000)) for i in range(500)]

@@ -158,8 +158,9 @@ def tumbling_hourly(spark, d):
 
 
 def sessions(spark, d):
-    w = F.session_window(F.timestamp_seconds("second"), "12 hours")
-    return _events(spark, d).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
+    """Events of a user less than twelve hours apart, as one session; busy users are cut into days."""
+    marked = ordered.islands(_events(spark, d).select("user_id", "second"), "user_id", "second", 43_200, "session")
+    return marked.groupBy("user_id", "session").agg(F.min("second").alias("start"), F.count("*").alias("n")).select("user_id", "start", "n")
 
 
 def rate_limit(spark, d):
