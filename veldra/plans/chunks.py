@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldra.functions import text as T
 from veldra.functions import vec
 from veldra.operators import chunking, embed, knn, ordered, rank, store
-from veldra.runtime import materialize, read_table, shared_dir
+from veldra.runtime import materialize, read_table, scratch_path
 
 DIM, RETRIEVED, KEPT = 64, 20, 5
 #: Templates of the news search.
@@ -182,12 +182,10 @@ def json_open_tail(spark, d):
 
 def scan_jsonl(spark, d):
     """Documents written as JSON lines and scanned again, blank lines skipped."""
-    import uuid
-
     from veldra.sources import documents
 
-    path = f"{shared_dir(spark)}/veldra-jsonl-{uuid.uuid4().hex}"
-    _docs(spark, d).select(F.concat(F.to_json(F.struct("doc_id", "text", "lang")), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    path = scratch_path(spark, "jsonl")
+    _docs(spark, d).select(F.concat(F.to_json(F.struct("doc_id", "text", "lang")), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("")).alias("value")).write.mode("overwrite").text(path)
     return documents.scan_json_lines(spark, path, "doc_id bigint, text string, lang string").select("doc_id", F.coalesce(F.length("text"), F.lit(-1)).cast("bigint").alias("chars"), F.md5("text").alias("digest"), "lang")
 
 

@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/veldra-{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder.mkdirs(target)  # only what exists can be marked
+    folder.deleteOnExit(target)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage is cut, and later plans prune columns.
 
@@ -33,11 +43,9 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     served; a collection on the driver lets Spark's cleaner free their disk before the next stage needs it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veldra-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
     spark._jvm.System.gc()
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
