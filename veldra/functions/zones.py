@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
-from functools import cache
+from functools import cache, lru_cache
 from importlib import resources
 from pathlib import Path
 from zoneinfo import TZPATH, ZoneInfo
@@ -32,7 +32,7 @@ def _offset(zone: ZoneInfo, second: int) -> int:
     return int(at.astimezone(zone).utcoffset().total_seconds())
 
 
-@cache
+@lru_cache(2048)
 def transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     """UTC seconds of the changes of a zone's offset, and the offsets before, between and behind them; None for an unknown zone.
 

@@ -7,8 +7,6 @@ Ties go to the lower id. Queries or vectors that are null or of another length h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ LINKS = {"at", "a", "de", "del", "um", "las", "den", "der", "le", "el", "the", "
 _PLAIN = str.maketrans("áàâäãéèêëíìîïóòôöúùûüçñ", "aaaaaeeeeiiiioooouuuucn")
 
 
-@cache
+@lru_cache(65_536)
 def word_kind(word: str) -> tuple[str, float]:
     """Class letter of a word and its value: M month, W weekday, P morning or afternoon, Z zone, R region, T, h, c link, X unknown."""
     plain = word.lower().translate(_PLAIN)
@@ -94,7 +94,7 @@ LAYOUTS = [
 ]
 
 
-@cache
+@lru_cache(65_536)
 def layout(mask: str) -> tuple[tuple[str, int, int], ...] | None:
     """Fields of a class mask with their places; None if the mask fixes no instant."""
     for pattern in LAYOUTS:
@@ -190,11 +190,9 @@ def _convert(mask: str, rows: np.ndarray, chars: np.ndarray, zones, month_first,
         full = list(mask)
         value: dict[int, object] = {}
         for (a, b), names, w in zip(words, vocab, combo):
-            pieces = [(a, b)] if "/" in names[w] or "_" in names[w] else [(a, b)]
-            for x, y in pieces:
-                letter, number = word_kind(names[w])
-                full[x:y] = letter * (y - x)
-                value[x] = (number, names[w])
+            letter, number = word_kind(names[w])
+            full[a:b] = letter * (b - a)
+            value[a] = (number, names[w])
         fields = layout("".join(full))
         if fields is None:
             continue

@@ -111,6 +111,7 @@ def parse_result_blocks(spark, d):
     kind = F.col("event_type")
     line = F.when(kind == "error", F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("] score="), F.format_string("%.2f", F.abs("value")), F.lit(" | doc=user-"), F.col("user_id").cast("string"))).when(kind == "click", F.concat(F.lit("=== "), kind)).otherwise(F.concat(F.lit("    "), kind, F.lit(" "), "props"))
     lines = _events(spark, d).select("user_id", "event_id", F.trim(line).alias("line"))
+    # fixed value: the header line of a report
     header = r"^\[\d+\]\s+score=([\d.]+)\s*\|\s*doc=(.+)$"
     marked = ordered.running_sum(lines.withColumn("head", F.col("line").rlike(header)), "user_id", "event_id", F.col("head").cast("bigint"), "block").filter("block > 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & ~F.col("line").startswith("==="), F.struct("event_id", "line")))), lambda x: x["line"]), " ")
