@@ -47,7 +47,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dim: int, ef: int = 6
                 who = np.broadcast_to(part.column(2).to_numpy()[:, None], found.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(found[ok]), pa.array(near[ok].astype(np.float64))], ["query_id", "id", "score"])
 
-    placed = rows.repartition(min(4096, 2 * shards), "shard").sortWithinPartitions("shard", "role")
+    placed = rows.repartitionById(min(4096, shards), "shard").sortWithinPartitions("shard", "role")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = placed.mapInArrow(run, "query_id bigint, id bigint, score double")
     return found.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).filter(F.col("rank") < k).select("query_id", "rank", "id", "score")
