@@ -293,7 +293,7 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
                 held.append(records)
         yield from close()
 
-    spread = reps.mapInArrow(keys, "part int, records binary").repartition(parts, "part").sortWithinPartitions("part")
+    spread = reps.mapInArrow(keys, "part int, records binary").repartitionById(parts, "part").sortWithinPartitions("part")
     candidates = materialize(_near(spread.mapInArrow(join, "a bigint, b bigint").distinct(), reps.select("id", "n", "seg"), t), "candidates")
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     pairs = _verified(candidates, df.select("id", "text").join(broadcast_checked(needed, NEEDED), "id", "left_semi"), words, t)
