@@ -9,7 +9,7 @@ from veldra.functions import vec
 from veldra.operators import hnsw, ivf, knn
 from veldra.runtime import read_table
 
-DIM, K, LISTS, PROBES = 64, 10, 16, 4
+DIM, K, LISTS, PROBES = 64, 10, 16, 12
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
