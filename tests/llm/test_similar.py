@@ -77,6 +77,22 @@ def test_large_class(spark, monkeypatch):
     assert {i for i in range(30)} <= {a for a, b in got if b == 100}
 
 
+@pytest.mark.parametrize("tail", ["d0", "e"])
+def test_large_class_of_one_group(spark, monkeypatch, tail):
+    """A hot group that holds the lowest ids of a class: each record with a true pair is in a row."""
+    monkeypatch.setattr(similar, "MEMBERS", 3)
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, "d0" if i < 12 or i % 3 else f"d{i % 4 + 1}", base, "x") for i in range(30)] + [(100 + i, tail, base + " tail", "x") for i in range(8)]
+    df = spark.createDataFrame(rows, "row_id bigint, doc_id string, text string, id string")
+    got = [tuple(r) for r in similar.similar_pairs(spark, df, words=3, t=0.6).collect()]
+    want = brute(rows, 3, 0.6)
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert {i for p in got for i in p} == {i for p in want for i in p} == {r[0] for r in rows}
+    # towards the similar class too, for each record beyond the kept ones
+    apart = lambda pairs: {i for a, b in pairs if a < 100 <= b for i in (a, b)}
+    assert apart(got) == apart(want)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "row_id bigint, doc_id string, text string")
     assert similar.similar_pairs(spark, df).count() == 0

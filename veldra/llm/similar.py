@@ -12,8 +12,8 @@
 4. The pairs left are verified on their texts.
 
 Defined results: null ids, null groups and texts under three words are in no pair; repeated rows are rows of their own; classes
-over ``MEMBERS`` records are not multiplied out: each further record is linked to the first of the class (and of each similar class)
-that has another group. Empty tables give an empty result; other columns are ignored.
+over ``MEMBERS`` records are not multiplied out: beside its lowest ids such a class keeps the lowest id of a second group, and each
+further record is linked to the first kept of the class (and of each similar class) that has another group. Empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -299,8 +299,15 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
     pairs = _verified(candidates, df.select("id", "text").join(broadcast_checked(needed, NEEDED), "id", "left_semi"), words, t)
     full = classes.filter(F.size("members") > MEMBERS)
     if full.limit(1).count():
-        narrow = sets.select("id", "grp", "h1", "h2").join(broadcast_checked(full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[MEMBERS]["id"].alias("last"))), ["h1", "h2"])
-        beyond = narrow.filter(F.col("id") > F.col("last")).select("id", "grp", "rep")
+        kept = full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[MEMBERS]["id"].alias("last"), F.array_distinct("members.grp").alias("groups"))
+        narrow = sets.select("id", "grp", "h1", "h2").join(broadcast_checked(kept), ["h1", "h2"]).filter(F.col("id") > F.col("last"))
+        narrow = materialize(narrow.select("id", "grp", "rep", F.when(F.size("groups") == 1, F.col("groups")[0]).alias("only")), "beyond")
+        # kept members of one group alone would leave the further records of that group without a partner
+        second = narrow.filter("grp <> only").groupBy("rep").agg(F.min(F.struct("id", "grp")).alias("second"))
+        second = broadcast_checked(materialize(second, "second"))
+        members = F.when(F.col("second").isNull(), F.col("members")).otherwise(F.concat("members", F.array("second")))
+        classes = classes.join(second.withColumnRenamed("rep", "id"), "id", "left").select("id", members.alias("members"))
+        beyond = narrow.join(second, "rep", "left").filter("second is null or id <> second.id").select("id", "grp", "rep")
     else:
         beyond = classes.filter("false").select("id", F.lit("").alias("grp"), F.col("id").alias("rep"))
     return classes.select("id", "members"), pairs, beyond
@@ -320,6 +327,6 @@ def similar_pairs(spark: SparkSession, df: DataFrame, id_col: str = "row_id", gr
     # further records of full classes: one link to their class and to each class similar to it
     links = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b"), F.col("a"))).unionAll(several.select("id", "id"))
     far = beyond.join(links, "rep").join(classes.select(F.col("id").alias("other"), "members"), "other")
-    far = far.select(F.struct("id", "grp").alias("x"), F.expr("filter(members, m -> m.grp <> grp)[0]").alias("y")).filter("y is not null")
+    far = far.select(F.struct("id", "grp").alias("x"), F.expr("get(filter(members, m -> m.grp <> grp), 0)").alias("y")).filter("y is not null")
     every = inner.unionAll(outer).unionAll(far)
     return every.select(F.least("x.id", "y.id").alias("row_a"), F.greatest("x.id", "y.id").alias("row_b"))
