@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,22 @@ def test_ingest_search_answer(spark, tmp_path, kind):
     assert p.ingest(docs(spark).limit(0))["chunks"] == 0
 
 
+def test_ivf_defaults(spark):
+    """The lists that follow from the size give every asked neighbour a place and nine of ten exact ones."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((2000, 32))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id bigint, embedding array<float>").cache()
+    asked = df.filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    index = Config(environ={"VELDRA_INDEX_KIND": "ivf"}).values["index"]
+    exact, found = ({tuple(r) for r in make_index(kind, 32, **{x: y for x, y in index.items() if x != "kind"})(asked, df, 50).select("query_id", "id").collect()} for kind in ("exact", "ivf"))
+    assert len(found) == len(exact) == 40 * 50
+    recall = len(found & exact) / len(exact)
+    assert recall >= 0.9
+    few = make_index("ivf", 32, lists=500, probes=1)(asked, df, 50)
+    assert few.count() == 40 * 50
+
+
 def test_unknown_index():
     with pytest.raises(ValueError):
         make_index("other", 4)

@@ -102,12 +102,22 @@ def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, query_col: st
     return rows.mapInArrow(run, "query_id bigint, embedding array<float>, rank int, cid int, score double")
 
 
-def search(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, k: int, n_probe: int, id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, id, score)`` among the lists of the probed centroids; lists are joined on the centroid, hot ones split by AQE."""
+def search(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, k: int, n_probe: int, id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding", fill: bool = False) -> DataFrame:
+    """``(query_id, rank, id, score)`` among the lists of the probed centroids; lists are joined on the centroid, hot ones split by AQE.
+
+    With ``fill`` a query whose lists hold under ``k`` vectors goes on to the next lists until they hold as many.
+    """
     from veldra.functions.vec import dot
 
     lists = vectors.join(assign(vectors, centroids, id_col, vector_col), id_col).select("cid", F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    hits = probe(queries, centroids, n_probe, query_col, vector_col).select("query_id", F.col("embedding").alias("q"), "cid").join(lists, "cid")
+    if fill:
+        sizes = lists.groupBy("cid").agg(F.count("*").alias("size"))
+        before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = probe(queries, centroids, len(centroids), query_col, vector_col).join(F.broadcast(sizes), "cid")  # at most MOST_CENTROIDS rows
+        probed = ranked.withColumn("had", F.coalesce(F.sum("size").over(before), F.lit(0))).filter((F.col("rank") < n_probe) | (F.col("had") < k))
+    else:
+        probed = probe(queries, centroids, n_probe, query_col, vector_col)
+    hits = probed.select("query_id", F.col("embedding").alias("q"), "cid").join(lists, "cid")
     scored = hits.select("query_id", "id", dot(F.col("q"), F.col("v")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).filter(F.col("rank") < k).select("query_id", "rank", "id", "score")

@@ -27,10 +27,14 @@ def make_index(kind: str, dim: int, /, **params):
     if kind == "ivf":
 
         def search(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
-            lists = min(params.get("lists", 4096), v.count())
-            if not lists:
+            v = v.filter(F.size("embedding") == dim)
+            n = v.count()
+            if not n:
                 return knn.search(q, v, k, dim, id_col="row_id")
-            return ivf.search(q, v, ivf.fit(v, lists, params.get("rounds", 20), id_col="row_id"), k, params.get("probes", 16), id_col="row_id")
+            lists = min(params.get("lists") or round(n**0.5) or 1, ivf.MOST_CENTROIDS, n)
+            centroids = ivf.fit(v, lists, params.get("rounds", 20), id_col="row_id")
+            # a half of the lists, as vectors without clusters need; then on until the candidates are enough
+            return ivf.search(q, v, centroids, k, params.get("probes") or -(-lists // 2), id_col="row_id", fill=True)
 
         return search
     raise ValueError(f"unknown index: {kind}")

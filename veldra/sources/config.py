@@ -13,7 +13,7 @@ log = logging.getLogger("veldra")
 DEFAULTS: dict[str, Any] = {
     "chunking": {"strategy": "recursive", "chunk_size": 512, "chunk_overlap": 50},
     "embedding": {"model": "hashing", "dim": 64},
-    "index": {"kind": "exact", "lists": 4096, "probes": 16, "rounds": 20, "ef": 100},
+    "index": {"kind": "exact", "lists": 0, "probes": 0, "rounds": 20, "ef": 100},
     "retrieval": {"top_k": 50, "final_k": 10},
     "generation": {"strategy": "replug", "budget": 15_000},
 }
