@@ -33,6 +33,17 @@ CASES = [
 ]
 
 
+LONG = [
+    ("2024-09-11T19:45:40.123456789-03:00[America/Argentina/Buenos_Aires]", "2024-09-11 22:45:40.123"), ("2024-01-06" + " " * 300 + "10:00" + "\t" * 300 + "Z", "2024-01-06 10:00:00.000"),
+    ("2024-01-06T10:00:00." + "5" * 60 + "Z", "2024-01-06 10:00:00.555"),
+]
+
+
+@pytest.mark.parametrize("value,want", LONG)
+def test_long_values(value, want):
+    assert one(value) == want
+
+
 @pytest.mark.parametrize("value,zone,us,want", CASES)
 def test_notations(value, zone, us, want):
     assert one(value, zone, us) == want

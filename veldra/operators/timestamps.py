@@ -5,7 +5,7 @@ Values with one mask hold their fields at the same places, so a mask is parsed o
 word classes) and its values are cut, converted and moved to UTC column by column through the zones' transition tables.
 
 Defined results: null, blank, impossible and relative values and dates without a time of day give no row; a value without zone or
-offset and without a known zone of its record gives none; repeated rows are kept; other columns are ignored.
+offset and without a known zone of its record gives none, nor does one over ``LONGEST`` characters; repeated rows are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from veldra.functions.buffers import code_points, string_column
 from veldra.functions.zones import transitions, wall_to_utc
 
-LONGEST = 64  # characters; no notation is longer once outer blanks are gone
+LONGEST = 256  # characters once outer and repeated blanks are gone; far more than a notation takes
 
 #: Names of months in English, French, German and Spanish, as prefixes without accents, of at least three letters.
 MONTHS = (
@@ -137,7 +137,10 @@ def to_utc(values, zones: np.ndarray, month_first: np.ndarray, group: np.ndarray
     odd_blank = np.isin(chars, [9, 10, 11, 12, 13, 160, 0x202F, 0x2009, 0x3000])
     kind[digit], kind[letter | (high & ~odd_blank)], kind[odd_blank] = ord("9"), ord("A"), ord(" ")
     kind[chars == 0x2212] = ord("-")
-    # outer blanks don't count
+    # repeated and outer blanks don't count
+    once = np.ones(len(kind), bool)
+    once[1:] = (kind[1:] != 32) | (kind[:-1] != 32)
+    chars, kind, at = chars[once], kind[once], np.append(0, np.cumsum(once))[at]
     solid = np.flatnonzero(kind != 32)
     i, j = np.searchsorted(solid, at[:-1]), np.searchsorted(solid, at[1:])
     has = j > i
