@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: set[str] = set()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +36,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     folder = target.getFileSystem(spark._jsc.hadoopConfiguration())
     folder.mkdirs(target)  # only what exists can be marked
     folder.deleteOnExit(target)
+    _made.add(path)
     return path
 
 
@@ -46,7 +50,29 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and no later plan reads; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every scratch table of the session: for long sessions, once the results that read them have been written."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made.discard(path)
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
