@@ -93,6 +93,71 @@ def test_large_class_of_one_group(spark, monkeypatch, tail):
     assert apart(got) == apart(want)
 
 
+def links(rows, words, t):
+    """Class and number of links of each record by comparing all."""
+    s = sets([r[2] for r in rows], words)
+    kept = [(r[0], r[1], x) for r, x in zip(rows, s) if None not in (r[0], r[1]) and x]
+    return {(i, min(k for k, _, y in kept if y == x), sum(g != h and len(x & y) >= t * len(x | y) for _, h, y in kept)) for i, g, x in kept}
+
+
+def class_pairs(rows, words, t):
+    s = sets([r[2] for r in rows], words)
+    low = {}
+    for r, x in zip(rows, s):
+        if None not in (r[0], r[1]) and x:
+            low[frozenset(x)] = min(r[0], low.get(frozenset(x), r[0]))
+    return {(a, b) for x, a in low.items() for y, b in low.items() if a < b and len(x & y) >= t * len(x | y)}
+
+
+BASE = " ".join(f"w{i}" for i in range(40))
+HOT = {
+    "one document": [(i, "d0", BASE, "x") for i in range(60)] + [(60, "d1", BASE, "x")],
+    "two classes": [(i, f"d{i % 7}", BASE, "x") for i in range(50)] + [(50 + i, f"d{i % 11}", BASE + " tail", "x") for i in range(45)] + [(200, "d3", BASE + " tail end", "x")],
+    "mixed": corpus(7),
+}
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_links_and_classes(spark, name):
+    rows = HOT[name]
+    df = spark.createDataFrame(rows, "row_id bigint, doc_id string, text string, class_id string").repartition(3)
+    got = [tuple(r) for r in similar.similar_links(spark, df, words=3, t=0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == links(rows, 3, 0.6)
+    got = [tuple(r) for r in similar.similar_classes(spark, df, words=3, t=0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == class_pairs(rows, 3, 0.6)
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_every_pair_without_the_bound(spark, name):
+    rows = HOT[name]
+    df = spark.createDataFrame(rows, "row_id bigint, doc_id string, text string, class_id string")
+    got = [tuple(r) for r in similar.similar_pairs(spark, df, words=3, t=0.6, members=None).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.6)
+
+
+@pytest.mark.parametrize("held,tasks,part", [(1, 2, 60), (10**6, 3, 10)])
+def test_parts_and_packets(spark, monkeypatch, held, tasks, part):
+    """Many small packets, or more parts than tasks, change nothing."""
+    monkeypatch.setattr(similar, "HELD", held)
+    monkeypatch.setattr(similar, "MOST_TASKS", tasks)
+    monkeypatch.setattr(similar, "PART_KEYS", part)
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "row_id bigint, doc_id string, text string, id string")
+    assert {tuple(r) for r in similar.similar_pairs(spark, df, words=3, t=0.6).collect()} == brute(rows, 3, 0.6)
+
+
+def test_common_shingles(spark):
+    """The counts of the sample are those of counting all records, the most frequent kept."""
+    rows = corpus(9)
+    df = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] is not None], "id bigint, text string").repartition(4)
+    s, n = similar._sample_counts(df, len(rows), 3)
+    seen = {}
+    for x in sets([r[2] for r in rows if r[0] is not None], 3):
+        for g in x:
+            seen[g] = seen.get(g, 0) + 1
+    assert (s[1:] > s[:-1]).all() and sorted(n.tolist()) == sorted(k for k in seen.values() if k > 1)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "row_id bigint, doc_id string, text string")
-    assert similar.similar_pairs(spark, df).count() == 0
+    assert similar.similar_pairs(spark, df).count() == similar.similar_links(spark, df).count() == similar.similar_classes(spark, df).count() == 0

@@ -12,6 +12,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(spark, read_table(spark, d, "chunks"), words=3, t=0.6)
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class and the number of its similar records: whole for classes of any size."""
+    return similar.similar_links(spark, read_table(spark, d, "chunks"), words=3, t=0.6)
+
+
+def p2_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_classes(spark, read_table(spark, d, "chunks"), words=3, t=0.6)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest_pairs(spark, read_table(spark, d, "vector_store").select("row_id", "embedding"))
 
@@ -36,18 +45,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_bisect, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p2_class_pairs, p3_found, p4_found, p4_bisect, p6_ids, p7_containers, p8_found)}
 _LF, _CR = "chr(10)", "chr(13)"
 _ENDS = "list_filter(range(1, len(text) + 1), lambda e: {})"
 _IN = "list_max(list_filter({}, lambda x: x BETWEEN s + 257 AND s + 512))"
 
-ORACLES: dict[str, str] = {
-    "p2_found": """
+_SIMILAR = """
         WITH w AS (SELECT row_id, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         s AS (SELECT DISTINCT row_id, doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
         n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id),
-        c AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id AND a.doc_id <> b.doc_id GROUP BY 1, 2)
-        SELECT row_a, row_b FROM c JOIN n x ON x.row_id = row_a JOIN n y ON y.row_id = row_b WHERE k * 10 >= 6 * (x.n + y.n - k)""",
+        c AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id{} GROUP BY 1, 2),
+        p AS (SELECT row_a, row_b FROM c JOIN n x ON x.row_id = row_a JOIN n y ON y.row_id = row_b WHERE k * 10 >= 6 * (x.n + y.n - k)),
+        k AS (SELECT row_id, min(row_id) OVER (PARTITION BY l) AS class_id FROM (SELECT row_id, list(g ORDER BY g) AS l FROM s GROUP BY row_id))"""
+_APART = _SIMILAR.format(" AND a.doc_id <> b.doc_id")
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"{_APART} SELECT row_a, row_b FROM p",
+    "p2_classes": f"{_APART}, e AS (SELECT row_a AS row_id FROM p UNION ALL SELECT row_b FROM p), l AS (SELECT row_id, count(*) AS links FROM e GROUP BY row_id) SELECT row_id, class_id, coalesce(links, 0) AS links FROM k LEFT JOIN l USING (row_id)",
+    "p2_class_pairs": f"{_SIMILAR.format('')} SELECT DISTINCT least(x.class_id, y.class_id) AS class_a, greatest(x.class_id, y.class_id) AS class_b FROM p JOIN k x ON x.row_id = row_a JOIN k y ON y.row_id = row_b WHERE x.class_id <> y.class_id",
     "p4_found": f"""
         WITH RECURSIVE t AS (SELECT row_id, len(text) AS n,
             {_ENDS.format(f"substring(text, e - 1, 2) = {_LF} || {_LF} AND e > 1 OR substring(text, e - 2, 3) = {_LF} || {_CR} || {_LF} AND e > 2")} AS blank,

@@ -7,13 +7,20 @@
    range; the distance over ``SEGMENTS`` joint segments, then over all, rules pairs out before any text is compared.
 3. With t = 0.6 and some 50 shingles a text the grid alone leaves near every pair, so it is laid out per shared shingle: sets of
    similarity t share one of their n - ceil(t n) + 1 first shingles in any common order. Here rare shingles come first, by the
-   counts of a bounded sample (the order decides the cost, never the result). Shingles in very many sets are cut into blocks and
-   the blocks joined pairwise, so no group goes to one task.
+   counts of one of ``SAMPLE_SHARE`` records, made on the executors (the order decides the cost, never the result). Shingles in
+   very many sets are cut into blocks and the blocks joined pairwise, so no group goes to one task.
 4. The pairs left are verified on their texts.
 
-Defined results: null ids, null groups and texts under three words are in no pair; repeated rows are rows of their own; classes
-over ``MEMBERS`` records are not multiplied out: beside its lowest ids such a class keeps the lowest id of a second group, and each
-further record is linked to the first kept of the class (and of each similar class) that has another group. Empty tables give an empty result; other columns are ignored.
+Three forms of the result, of which the last two are whole for classes of any size:
+
+``similar_pairs``    pairs of records. Classes over ``members`` records are not multiplied out: beside its lowest ids such a class
+                     keeps the lowest id of a second group, and each further record is linked to the first kept of the class (and
+                     of each similar class) that has another group. ``members=None`` multiplies every class out.
+``similar_links``    one row per record: its class and the number of its similar records in other groups, counted exactly.
+``similar_classes``  pairs of classes, each named by its lowest id; with the classes of ``similar_links`` all pairs follow.
+
+Defined results: null ids, null groups and texts of too few words are in no pair and no class; ids are taken to be unique, a
+repeated id counts as a further record of its class; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +34,17 @@ from pyspark.sql import functions as F
 
 from veldra.functions.buffers import ranges
 from veldra.llm.shingles import mix, shingle_sets
-from veldra.runtime import broadcast_checked, materialize
+from veldra.runtime import broadcast_checked, materialize, release
 
 FINE, SEGMENTS = 128, 32
 KEY_BYTES = 5  # of a shingle's hash; equal keys of other shingles only cost a comparison
 MEMBERS = 32
-SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_SHARE = 20_000, 100_000, 15  # records of the sample: one of SAMPLE_SHARE within these bounds
-COMMON = 500_000  # shingles of the sample whose count is kept
+SAMPLE_LEAST, SAMPLE_SHARE = 20_000, 15  # the sample is one of SAMPLE_SHARE records, and at least SAMPLE_LEAST
+COMMON = 500_000  # shingles of the sample whose count is kept: the only thing sent to the driver and back, 16 bytes each
 BLOCK = 40_000  # sets with one shingle that are joined at once
-PART_KEYS = 400_000
+PART_KEYS = 400_000  # records of a part, the unit that is joined in memory; there are as many parts as that takes
+MOST_TASKS = 8192  # tasks the parts are dealt to, one part after another
+HELD = 1_000_000  # records held before they are packed, so that packets stay large however many parts there are
 CHUNK = 400_000
 NEEDED = 500_000  # ids of a pair, up to which they are sent to the texts; beyond it the texts are shuffled to them
 
@@ -92,27 +101,24 @@ def _sets(df: DataFrame, words: int, t: float, shared, full: bool) -> DataFrame:
 
 
 def sample_size(total: int) -> int:
-    return min(max(total // SAMPLE_SHARE, SAMPLE_LEAST), SAMPLE_MOST)
+    return min(max(total // SAMPLE_SHARE, SAMPLE_LEAST), max(total, 1))
 
 
 def _sample_counts(df: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in more than one record of a bounded sample, with their counts; the ``COMMON`` most frequent."""
+    """Shingles that occur in more than one record of the sample, with their counts; the ``COMMON`` most frequent, counted on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, s = shingle_sets(batch.column(0).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()])], ["s"])
+        held = [shingle_sets(batch.column(0).to_pylist()[a : a + 4000], words)[1] for batch in batches for a in range(0, batch.num_rows, 4000)]
+        s, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], ["s", "n"])
 
-    size = sample_size(total)
-    part = min(1.0, 1.1 * size / max(total, 1))
-    texts = df.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(part * 1_000_003)).select("text").limit(size)
-    blobs = [r["s"] for r in texts.mapInArrow(run, "s binary").collect()]
-    s, times = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_counts=True)
-    s, times = s[times > 1], times[times > 1]
-    if len(s) > COMMON:
-        top = np.sort(np.argpartition(-times, COMMON)[:COMMON])
-        s, times = s[top], times[top]
-    return s, times
+    part = int(np.ceil(min(1.0, sample_size(total) / max(total, 1)) * 1_000_003))
+    texts = df.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < part).select("text")
+    counts = texts.mapInArrow(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 1")
+    top = counts.orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, times = top["s"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], times[order]
 
 
 #: A set under one of its first shingles. 32 bits of the key are kept beside the part, so false meetings stay as rare at any size.
@@ -217,65 +223,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, t: float) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``df``: id, grp, text. Classes ``(id, members ARRAY<STRUCT<id, grp>>)``, similar classes ``(a, b)``, rows beyond full classes ``(id, grp, rep)``."""
-    total = df.count()
-    counted = _sample_counts(df, total, words)
-    shared = spark.sparkContext.broadcast(counted)  # at most COMMON
-    order = Window.partitionBy("h1", "h2").orderBy("id")
-    sets = materialize(_sets(df, words, t, shared, True), "sets")
-    firsts = sets.select("id", "grp", "h1", "h2").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MEMBERS + 1)
-    firsts = materialize(firsts, "firsts")
+def _class_pairs(spark: SparkSession, df: DataFrame, sets: DataFrame, lows: DataFrame, words: int, t: float, total: int, shared) -> DataFrame:
+    """Similar classes ``(a, b)``, a < b, by their lowest ids ``lows`` (id)."""
     # copies leave by their ids, so that the sets themselves need no shuffle while copies are few
-    copies = materialize(sets.select("id").join(firsts.filter("rn = 1").select("id"), "id", "left_anti"), "copies")
+    copies = materialize(sets.select("id").join(lows, "id", "left_anti"), "copies")
     reps = sets.join(broadcast_checked(copies, NEEDED), "id", "left_anti").select("id", "n", "seg", "pre")
-    classes = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("id", "grp"))).alias("members"))
-    classes = classes.select("h1", "h2", F.col("members")[0]["id"].alias("id"), "members")
-    parts = int(np.clip(round(total * 20 / PART_KEYS), 8, 8192))
-    grown = total / max(min(total, sample_size(total)), 1)
+    parts = max(8, round(total * 20 / PART_KEYS))
+    grown = total / sample_size(total)
+
+    def keyed(batch: pa.RecordBatch, known: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts and records of the first shingles of a batch of sets."""
+        pre = batch.column(3)
+        cuts = np.frombuffer(pre.buffers()[1], np.int32)[pre.offset : pre.offset + len(pre) + 1]
+        many = np.diff(cuts) // KEY_BYTES
+        wide = np.zeros((int(many.sum()), 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(pre.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].reshape(-1, KEY_BYTES)
+        s = wide.view(np.uint64).ravel()
+        fine = _counts(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, FINE // 2))
+        joint = np.minimum(fine.reshape(-1, SEGMENTS, FINE // SEGMENTS).sum(2, dtype=np.int16), 15).astype(np.uint8)
+        seg = joint[:, 0::2] | (joint[:, 1::2] << 4)
+        r = np.zeros(len(s), RECORD)
+        row = np.repeat(np.arange(len(many)), many)
+        key = s.copy()
+        r["id"], r["n"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+        r["pos"] = np.arange(len(s)) - np.repeat(np.cumsum(many) - many, many)
+        r["seg"] = seg[row]
+        if len(known):
+            i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            blocks = np.where(known[i] == s, np.ceil(times[i] * grown / BLOCK), 1).astype(np.int64)
+            hot = blocks > 1
+            if hot.any():
+                h, w = r[hot], blocks[hot]
+                own = (mix(h["id"].astype(np.uint64)) % w.astype(np.uint64)).astype(np.int64)
+                copied, again = np.repeat(h, w), np.repeat(key[hot], w)
+                b, c = np.repeat(own, w), ranges(np.zeros(len(w), np.int64), w)
+                copied["block"], copied["twin"] = b, c
+                pair = (np.minimum(b, c) << 16 | np.maximum(b, c)).astype(np.uint64)
+                r, key = np.concatenate([r[~hot], copied]), np.concatenate([key[~hot], mix(again + mix(pair + np.uint64(7)))])
+        key = mix(key)
+        r["key"] = key & np.uint64(0xFFFFFFFF)
+        return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), r
+
+    def packets(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        part, r = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        order = np.argsort(part, kind="stable")
+        part, r = part[order], r[order]
+        first = _starts(part)
+        ends = [*first[1:].tolist(), len(r)]
+        blobs = [_pack(r[a:b]) for a, b in zip(first.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "records"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         known = known & np.uint64((1 << 8 * KEY_BYTES) - 1)
         order = np.argsort(known)
         known, times = known[order], times[order]
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pre = batch.column(3)
-            cuts = np.frombuffer(pre.buffers()[1], np.int32)[pre.offset : pre.offset + len(pre) + 1]
-            many = np.diff(cuts) // KEY_BYTES
-            wide = np.zeros((int(many.sum()), 8), np.uint8)
-            wide[:, :KEY_BYTES] = np.frombuffer(pre.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].reshape(-1, KEY_BYTES)
-            s = wide.view(np.uint64).ravel()
-            fine = _counts(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, FINE // 2))
-            joint = np.minimum(fine.reshape(-1, SEGMENTS, FINE // SEGMENTS).sum(2, dtype=np.int16), 15).astype(np.uint8)
-            seg = joint[:, 0::2] | (joint[:, 1::2] << 4)
-            r = np.zeros(len(s), RECORD)
-            row = np.repeat(np.arange(len(many)), many)
-            key = s.copy()
-            r["id"], r["n"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            r["pos"] = np.arange(len(s)) - np.repeat(np.cumsum(many) - many, many)
-            r["seg"] = seg[row]
-            if len(known):
-                i = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                blocks = np.where(known[i] == s, np.ceil(times[i] * grown / BLOCK), 1).astype(np.int64)
-                hot = blocks > 1
-                if hot.any():
-                    h, w = r[hot], blocks[hot]
-                    own = (mix(h["id"].astype(np.uint64)) % w.astype(np.uint64)).astype(np.int64)
-                    copies, again = np.repeat(h, w), np.repeat(key[hot], w)
-                    b, c = np.repeat(own, w), ranges(np.zeros(len(w), np.int64), w)
-                    copies["block"], copies["twin"] = b, c
-                    pair = (np.minimum(b, c) << 16 | np.maximum(b, c)).astype(np.uint64)
-                    r, key = np.concatenate([r[~hot], copies]), np.concatenate([key[~hot], mix(again + mix(pair + np.uint64(7)))])
-            key = mix(key)
-            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            r["key"] = key & np.uint64(0xFFFFFFFF)
-            r = r[np.argsort(part, kind="stable")]
-            ends = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
-            has = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array([_pack(r[ends[i] : ends[i + 1]]) for i in has.tolist()], pa.binary())], ["part", "records"])
+            if batch.num_rows:
+                held.append(keyed(batch, known, times))
+                size += len(held[-1][0])
+            if size >= HELD:
+                yield packets(held)
+                held, size = [], 0
+        if size:
+            yield packets(held)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -293,31 +305,45 @@ def similar_classes(spark: SparkSession, df: DataFrame, words: int = 5, t: float
                 held.append(records)
         yield from close()
 
-    spread = reps.mapInArrow(keys, "part int, records binary").repartitionById(parts, "part").sortWithinPartitions("part")
+    spread = reps.mapInArrow(keys, "part int, records binary").repartitionById(min(parts, MOST_TASKS), "part").sortWithinPartitions("part")
     candidates = materialize(_near(spread.mapInArrow(join, "a bigint, b bigint").distinct(), reps.select("id", "n", "seg"), t), "candidates")
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    pairs = _verified(candidates, df.select("id", "text").join(broadcast_checked(needed, NEEDED), "id", "left_semi"), words, t)
-    full = classes.filter(F.size("members") > MEMBERS)
-    if full.limit(1).count():
-        kept = full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[MEMBERS]["id"].alias("last"), F.array_distinct("members.grp").alias("groups"))
+    pairs = materialize(_verified(candidates, df.select("id", "text").join(broadcast_checked(needed, NEEDED), "id", "left_semi"), words, t), "pairs")
+    release(copies, candidates)
+    return pairs
+
+
+def _begun(spark: SparkSession, df: DataFrame, id_col: str, group_col: str, text_col: str, words: int, t: float) -> tuple:
+    """Usable rows (id, grp, text), their number, the shared counts of shingles, the sets of the rows."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(text_col).alias("text")).filter("id is not null and grp is not null and text is not null")
+    total = rows.count()
+    shared = spark.sparkContext.broadcast(_sample_counts(rows, total, words))  # at most COMMON
+    return rows, total, shared, materialize(_sets(rows, words, t, shared, True), "sets")
+
+
+def similar_pairs(spark: SparkSession, df: DataFrame, id_col: str = "row_id", group_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8, members: int | None = MEMBERS) -> DataFrame:
+    """``(row_a, row_b)``, row_a < row_b: similar records of different groups."""
+    rows, total, shared, sets = _begun(spark, df, id_col, group_col, text_col, words, t)
+    order = Window.partitionBy("h1", "h2").orderBy("id")
+    firsts = sets.select("id", "grp", "h1", "h2").withColumn("rn", F.row_number().over(order))
+    firsts = materialize(firsts if members is None else firsts.filter(F.col("rn") <= members + 1), "firsts")
+    pairs = _class_pairs(spark, rows, sets, firsts.filter("rn = 1").select("id"), words, t, total, shared)
+    classes = firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("id", "grp"))).alias("members"))
+    classes = classes.select("h1", "h2", F.col("members")[0]["id"].alias("id"), "members")
+    full = classes.filter("false") if members is None else classes.filter(F.size("members") > members)
+    if members is not None and full.limit(1).count():
+        kept = full.select("h1", "h2", F.col("id").alias("rep"), F.col("members")[members]["id"].alias("last"), F.array_distinct("members.grp").alias("groups"))
         narrow = sets.select("id", "grp", "h1", "h2").join(broadcast_checked(kept), ["h1", "h2"]).filter(F.col("id") > F.col("last"))
         narrow = materialize(narrow.select("id", "grp", "rep", F.when(F.size("groups") == 1, F.col("groups")[0]).alias("only")), "beyond")
         # kept members of one group alone would leave the further records of that group without a partner
         second = narrow.filter("grp <> only").groupBy("rep").agg(F.min(F.struct("id", "grp")).alias("second"))
         second = broadcast_checked(materialize(second, "second"))
-        members = F.when(F.col("second").isNull(), F.col("members")).otherwise(F.concat("members", F.array("second")))
-        classes = classes.join(second.withColumnRenamed("rep", "id"), "id", "left").select("id", members.alias("members"))
+        listed = F.when(F.col("second").isNull(), F.col("members")).otherwise(F.concat("members", F.array("second")))
+        classes = classes.join(second.withColumnRenamed("rep", "id"), "id", "left").select("id", listed.alias("members"))
         beyond = narrow.join(second, "rep", "left").filter("second is null or id <> second.id").select("id", "grp", "rep")
     else:
+        classes = classes.select("id", "members")
         beyond = classes.filter("false").select("id", F.lit("").alias("grp"), F.col("id").alias("rep"))
-    return classes.select("id", "members"), pairs, beyond
-
-
-def similar_pairs(spark: SparkSession, df: DataFrame, id_col: str = "row_id", group_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8) -> DataFrame:
-    """``(row_a, row_b)``, row_a < row_b: similar records of different groups."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(text_col).alias("text")).filter("id is not null and grp is not null and text is not null")
-    classes, pairs, beyond = similar_classes(spark, rows, words, t)
-    pairs = materialize(pairs, "pairs")
     several = classes.filter(F.size("members") > 1)
     inner = several.select(F.explode("members").alias("x"), "members").select("x", F.explode("members").alias("y")).filter("x.id < y.id and x.grp <> y.grp")
     ends = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
@@ -330,3 +356,41 @@ def similar_pairs(spark: SparkSession, df: DataFrame, id_col: str = "row_id", gr
     far = far.select(F.struct("id", "grp").alias("x"), F.expr("get(filter(members, m -> m.grp <> grp), 0)").alias("y")).filter("y is not null")
     every = inner.unionAll(outer).unionAll(far)
     return every.select(F.least("x.id", "y.id").alias("row_a"), F.greatest("x.id", "y.id").alias("row_b"))
+
+
+def _grouped(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers of records by class and group ``(h1, h2, grp, n, low)``; classes ``(h1, h2, rep, total, groups)``. A hot class is counted before the shuffle."""
+    groups = materialize(sets.groupBy("h1", "h2", "grp").agg(F.count("*").alias("n"), F.min("id").alias("low")), "groups")
+    return groups, groups.groupBy("h1", "h2").agg(F.min("low").alias("rep"), F.sum("n").alias("total"), F.count("*").alias("groups"))
+
+
+def similar_classes(spark: SparkSession, df: DataFrame, id_col: str = "row_id", group_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8) -> DataFrame:
+    """``(class_a, class_b)``, class_a < class_b: similar classes of records with equal shingles, each named by its lowest id, of any group."""
+    rows, total, shared, sets = _begun(spark, df, id_col, group_col, text_col, words, t)
+    lows = materialize(_grouped(sets)[1].select(F.col("rep").alias("id")), "lows")
+    return _class_pairs(spark, rows, sets, lows, words, t, total, shared).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
+def similar_links(spark: SparkSession, df: DataFrame, id_col: str = "row_id", group_col: str = "doc_id", text_col: str = "text", words: int = 5, t: float = 0.8) -> DataFrame:
+    """``(id_col, class_id, links)`` of each record with shingles: the lowest id of its class, and how many records of other groups are similar to it.
+
+    The number is summed over classes: all records of the own and the similar classes, less those of the record's own group. Of two
+    similar classes the one of fewer groups is sent to the other, so a class that holds a third of all rows isn't multiplied.
+    """
+    rows, total, shared, sets = _begun(spark, df, id_col, group_col, text_col, words, t)
+    groups, classes = _grouped(sets)
+    classes = materialize(classes, "classes")
+    pairs = _class_pairs(spark, rows, sets, classes.select(F.col("rep").alias("id")), words, t, total, shared)
+    named = materialize(groups.join(classes, ["h1", "h2"]).select("h1", "h2", "rep", "grp", "n", "total"), "named")
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("total").alias(f"total_{c}"), F.col("groups").alias(f"groups_{c}"))
+    wide = materialize(pairs.join(side("a"), "a").join(side("b"), "b"), "wide")
+    near = wide.select(F.col("a").alias("rep"), F.col("total_b").alias("n")).unionAll(wide.select("b", "total_a")).groupBy("rep").agg(F.sum("n").alias("near"))
+    fewer = F.col("groups_a") <= F.col("groups_b")
+    sent = wide.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("rep"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    sent = sent.join(named.select("rep", "grp", "n"), "rep")
+    met = sent.join(named.select(F.col("rep").alias("other"), "grp", F.col("n").alias("m")), ["other", "grp"])
+    own = met.select("rep", "grp", F.col("m").alias("n")).unionAll(met.select("other", "grp", "n")).groupBy("rep", "grp").agg(F.sum("n").alias("own"))
+    linked = named.join(near, "rep", "left").join(own, ["rep", "grp"], "left")
+    linked = linked.select("h1", "h2", "grp", "rep", (F.col("total") - F.col("n") + F.coalesce("near", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("links"))
+    out = sets.select("id", "grp", "h1", "h2").join(linked, ["h1", "h2", "grp"])
+    return out.select(F.col("id").alias(id_col), F.col("rep").alias("class_id"), "links")
