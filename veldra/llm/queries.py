@@ -45,7 +45,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p2_class_pairs, p3_found, p4_found, p4_bisect, p6_ids, p7_containers, p8_found)}
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The templates that p8_found classifies, with the number of their lines."""
+    return residue.templates(read_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p2_class_pairs, p3_found, p4_found, p4_bisect, p6_ids, p7_containers, p8_found, p8_templates)}
 _LF, _CR = "chr(10)", "chr(13)"
 _ENDS = "list_filter(range(1, len(text) + 1), lambda e: {})"
 _IN = "list_max(list_filter({}, lambda x: x BETWEEN s + 257 AND s + 512))"
