@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 OWN, BACK, KIDS, BATCH, EXACT = 12, 14, 6, 512, 2048
+CANDIDATES = 16
 #: One of this many nodes of a layer is in the layer above.
 RATIO = 8
 DEEPER = 4
@@ -18,7 +19,7 @@ TOP = 256
 
 
 def levels_of(ids: np.ndarray) -> np.ndarray:
-    """Level of each node, geometric, from a hash of its id."""
+    """Level of each node, geometric with one of ``RATIO`` nodes going up, from a hash of its id; at most 12."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -53,24 +54,38 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable"), 1)
 
 
+def _heights(sizes: list[int]) -> list[int]:
+    return [s for i, s in enumerate(sizes) if i == 0 or sizes[i - 1] > TOP]
+
+
 class Graph:
-    """``loose``: a node or query that finds less than this similarity is searched again ``DEEPER`` times as broadly, since a small
+    """``own``: links a node makes; ``candidates``: nodes they are chosen from; ``exact``: nodes up to which these come from all pairs.
+
+    ``loose``: a node or query that finds less than this similarity is searched again ``DEEPER`` times as broadly, since a small
     group of vectors can lie hidden behind a large one that fills the first search."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, candidates: int = 16, loose: float = -2.0):
-        self.loose = loose
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, candidates: int = CANDIDATES, loose: float = -2.0, own: int = OWN, exact: int = EXACT):
+        self.loose, self.own, self.exact = loose, own, exact
         order = np.lexsort((ids, -levels_of(ids)))
         self.ids, self.v = ids[order], np.ascontiguousarray(vectors[order], np.float32)
         level = levels_of(self.ids)
         sizes = [int((level >= n).sum()) for n in range(int(level.max(initial=0)) + 1)]
         # a top layer of over TOP nodes isn't possible; empty or tiny layers above it are left out
-        self.sizes = [s for i, s in enumerate(sizes) if i == 0 or sizes[i - 1] > TOP]
+        self.sizes = _heights(sizes)
         self.layers: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(self.sizes)
         for n in range(len(self.sizes) - 1, -1, -1):
             self._link(n, candidates)
 
+    @classmethod
+    def restored(cls, ids: np.ndarray, vectors: np.ndarray, links: list[np.ndarray], loose: float = -2.0) -> Graph:
+        """A graph from its nodes in their order and the links of each layer."""
+        graph = cls.__new__(cls)
+        graph.loose, graph.ids, graph.v, graph.layers = loose, ids, np.ascontiguousarray(vectors, np.float32), links
+        graph.sizes = [len(x) for x in links]
+        return graph
+
     def _link(self, n: int, candidates: int) -> None:
-        size = self.sizes[n]
+        size, OWN = self.sizes[n], self.own  # noqa: N806
         own = np.full((size, OWN), -1, np.int32)
         back, near = np.full((size, BACK), -1, np.int32), np.full((size, BACK), -2.0, np.float32)
         kids = np.zeros(size, np.int64)
@@ -79,7 +94,7 @@ class Graph:
             b = min(a + BATCH, size)
             rows = np.arange(a, b)
             block = self.v[a:b]
-            if b <= EXACT:
+            if b <= self.exact:
                 ids = np.broadcast_to(np.arange(b, dtype=np.int32), (b - a, b))
                 sims = block @ self.v[:b].T
             else:

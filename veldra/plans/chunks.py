@@ -161,7 +161,7 @@ def append_row_ids(spark, d):
 
 
 def hit_metadata_join(spark, d):
-    hits = read_table(spark, d, "vector_store").filter("row_id % 20 = 0").select("row_id", "chunk_offset")
+    hits = read_table(spark, d, "vector_store").select("row_id", "chunk_offset")
     return store.hydrate(hits, read_table(spark, d, "chunks")).select("row_id", "chunk_offset", "doc_id", "source_file", F.substring("text", 1, 500).alias("preview"))
 
 
@@ -291,7 +291,7 @@ ORACLES = {
     + ", ".join(f"'{t}'" for t in TEMPLATES)
     + "]) AS t)",
     "append_row_ids": "SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, chunk_id NULLS FIRST, row_id) - 1 + 1000 AS row_id, doc_id, row_id AS old_id FROM chunks",
-    "hit_metadata_join": "SELECT row_id, v.chunk_offset, c.doc_id, c.source_file, substring(c.text, 1, 500) AS preview FROM vector_store v JOIN chunks c USING (row_id) WHERE row_id % 20 = 0",
+    "hit_metadata_join": "SELECT row_id, v.chunk_offset, c.doc_id, c.source_file, substring(c.text, 1, 500) AS preview FROM vector_store v JOIN chunks c USING (row_id)",
     "json_encode": "SELECT row_id, CASE WHEN extra IS NULL OR cardinality(extra) = 0 THEN k ELSE substring(k, 1, len(k) - 1) || ',' || substring(e, 2) END AS line FROM (SELECT row_id, extra, to_json({'chunk_id': chunk_id, 'doc_id': doc_id, 'text': text, 'token_start': token_start, 'token_end': token_end, 'source_file': source_file})::VARCHAR AS k, to_json(extra)::VARCHAR AS e FROM chunks)",
     "json_open_tail": "SELECT row_id, unnest(map_keys(extra)) AS key, unnest(map_values(extra)) AS value FROM chunks WHERE extra IS NOT NULL",
     "scan_jsonl": "SELECT doc_id, coalesce(len(text), -1) AS chars, md5(text) AS digest, lang FROM documents",

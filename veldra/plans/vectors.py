@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import vec
-from veldra.operators import hnsw, ivf, knn
-from veldra.runtime import read_table
+from veldra.functions.graph import levels_of
+from veldra.operators import hnsw, indexes, ivf, knn
+from veldra.runtime import materialize, read_table, scratch_path
 
 DIM, K, LISTS, PROBES = 64, 10, 16, 12
 
@@ -110,11 +111,12 @@ def multi_query(spark, d):
 
 
 def knn_graph(spark, d):
-    """Edges to the eight closest others of every query vector, with those that point back marked."""
-    asked = _asked(spark, d).withColumn("tag", F.col("query_id"))
-    found = knn.search(asked, _vectors(spark, d).withColumn("tag", F.col("vec_id")), 8, DIM, differ="tag")
-    edges = found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("mutual"))
+    """Edges from every query vector to its eight closest others; an edge is mutual if its end has the query among its own eight, which are searched for all ends."""
+    tagged = _vectors(spark, d).withColumn("tag", F.col("vec_id"))
+    near = lambda asked: knn.search(asked.withColumnRenamed("vec_id", "query_id"), tagged, 8, DIM, differ="tag").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    edges = materialize(near(tagged.filter("vec_id % 20 = 0")), "edges")
+    ends = near(tagged.join(edges.select(F.col("dst").alias("vec_id")).distinct(), "vec_id", "left_semi"))
+    back = ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("mutual"))
     return edges.join(back, ["src", "dst"], "left").select("src", "dst", F.coalesce("mutual", F.lit(False)).alias("mutual"))
 
 
@@ -126,18 +128,23 @@ def _first(spark, d):
     return ivf.initial(_vectors(spark, d), LISTS)
 
 
+def _trained(spark, d):
+    """Centroids after three Lloyd rounds."""
+    return ivf.fit(_vectors(spark, d), LISTS, 3, 0.0)
+
+
 def ivf_assign(spark, d):
-    return ivf.assign(_vectors(spark, d), _first(spark, d)).select("vec_id", F.col("cid").cast("long").alias("cid"))
+    return ivf.assign(_vectors(spark, d), _trained(spark, d)).select("vec_id", F.col("cid").cast("long").alias("cid"))
 
 
 def ivf_postings(spark, d):
-    rows = ivf.postings(ivf.assign(_vectors(spark, d), _first(spark, d)))
+    rows = ivf.postings(materialize(ivf.assign(_vectors(spark, d), _trained(spark, d)), "assigned"))
     return rows.select(F.col("cid").cast("long").alias("cid"), F.col("pos").cast("long").alias("pos"), "vec_id")
 
 
 def ivf_list_sizes(spark, d):
     """Number, least, greatest and mean size of the lists, empty ones included."""
-    sizes = ivf.assign(_vectors(spark, d), _first(spark, d)).groupBy("cid").count()
+    sizes = ivf.assign(_vectors(spark, d), _trained(spark, d)).groupBy("cid").count()
     every = spark.range(LISTS).select(F.col("id").cast("int").alias("cid")).join(sizes, "cid", "left").select(F.coalesce("count", F.lit(0)).alias("n"))
     return every.agg(F.count("*").alias("lists"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.sum("n").alias("total"))
 
@@ -165,42 +172,112 @@ def kmeans_shift(spark, d):
 
 
 def ivf_probe(spark, d):
-    return ivf.probe(_asked(spark, d), _first(spark, d), PROBES).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("cid").cast("long").alias("cid"), F.round("score", 6).alias("score"))
+    return ivf.probe(_asked(spark, d), _trained(spark, d), PROBES).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("cid").cast("long").alias("cid"), F.round("score", 6).alias("score"))
 
 
 def ivf_search(spark, d):
-    return _ranked(ivf.search(_asked(spark, d), _vectors(spark, d), _first(spark, d), K, PROBES))
+    return _ranked(ivf.search(_asked(spark, d), _vectors(spark, d), _trained(spark, d), K, PROBES))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _stored(spark, vectors: DataFrame, kind: str, dim: int = DIM, **params) -> indexes.Index:
+    """An index built, and loaded from where it was written."""
+    path = scratch_path(spark, kind)
+    indexes.build(kind, vectors, path, dim, **params)
+    return indexes.load(spark, path)
+
+
+def _lists(index: indexes.Index) -> DataFrame:
+    lists = index.lists().groupBy("cid").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    heads = index._table("centroids", index.CENTROIDS).select("cid", F.round(F.get("centroid", F.lit(0)), 6).alias("head"), F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return heads.join(lists, "cid").select(F.col("cid").cast("long").alias("cid"), "n", "ids", "head", "total")
 
 
 def ivf_roundtrip(spark, d):
-    """An index written and read back gives the lists it was made of."""
-    from veldra.runtime import materialize
+    """An index written and read back has the lists and centroids it was made of."""
+    return _lists(_stored(spark, _plain(_vectors(spark, d)), "ivf", lists=LISTS, probes=PROBES, rounds=3, sample=10**9))
+
+
+def ivf_add(spark, d):
+    """Vectors appended to a stored index of the others go to the lists of its centroids."""
+    rows = _vectors(spark, d)
+    index = _stored(spark, _plain(rows.filter("vec_id % 2 = 0")), "ivf", lists=LISTS, probes=PROBES, rounds=0, sample=10**9)
+    return _lists(index.add(_plain(rows.filter("vec_id % 2 = 1"))))
+
 
-    stored = materialize(ivf.assign(_vectors(spark, d), _first(spark, d)), "ivf")
-    return stored.groupBy(F.col("cid").cast("long").alias("cid")).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+def index_add(spark, d):
+    """A stored exact index, appended to, finds among all vectors."""
+    rows = _vectors(spark, d)
+    index = _stored(spark, _plain(rows.filter("vec_id % 3 = 0")), "exact").add(_plain(rows.filter("vec_id % 3 > 0")))
+    return _ranked(index.search(_asked(spark, d), K))
+
+
+def hnsw_roundtrip(spark, d):
+    """Vectors of a stored graph index, half of them appended, as they come out of the node table, with their links counted as none lost."""
+    rows = _vectors(spark, d)
+    index = _stored(spark, _plain(rows.filter("vec_id % 2 = 0")), "hnsw").add(_plain(rows.filter("vec_id % 2 = 1")))
+    linked = hnsw.edges(index.nodes()).filter("layer = 0").select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
+    heads = index.nodes().join(linked, "id", "left").select(F.col("id").alias("vec_id"), F.length("vec").cast("long").alias("bytes"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    return heads
+
+
+def _recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return hits.agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"))
+
+
+def index_figures(spark, d) -> list[tuple]:
+    """Of each approximate kind over the usable vectors of the store: kind, queries, recall of the exact ten, share of vectors scored (null for graphs)."""
+    rows = read_table(spark, d, "vector_store").filter(vec.usable(F.col("embedding"), 128)).select(F.col("row_id").alias("id"), vec.normalize(F.col("embedding")).cast("array<float>").alias("embedding"))
+    rows = materialize(rows, "usable")
+    asked = rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    exact = materialize(knn.search(asked, rows, K, 128, id_col="id"), "exact")
+    out = []
+    for kind in ("ivf", "hnsw"):
+        index = _stored(spark, rows, kind, 128)
+        r = _recall(exact, index.search(asked, K)).first()
+        scanned = None
+        if kind == "ivf":
+            centroids = index.centroids()
+            probed = ivf.probe(asked, centroids, index.params["probes"]).select("cid").join(index._table("sizes", "cid int, count bigint"), "cid")
+            scanned = probed.agg(F.sum("count")).first()[0] / max(r["queries"] * rows.count(), 1)
+        out.append((kind, r["queries"], r["recall"], scanned))
+    return out
+
+
+def index_recall(spark, d):
+    """Whether each stored approximate index finds nine of ten exact neighbours, the inverted file in a quarter of the vectors."""
+    return spark.createDataFrame([(kind, n, recall >= 0.9, scanned is None or scanned <= 0.25) for kind, n, recall, scanned in index_figures(spark, d)], "kind string, queries bigint, found boolean, selective boolean")
 
 
 def recall_at_k(spark, d):
     """Mean share of the exact ten that the inverted file finds."""
-    exact = _exact_ids(spark, d)
-    found = ivf.search(_asked(spark, d), _vectors(spark, d), _first(spark, d), K, PROBES).select("query_id", "id", F.lit(1).alias("hit"))
-    by_query = exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.lit(float(K))).alias("recall"))
-    return by_query.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+    found = ivf.search(_asked(spark, d), _vectors(spark, d), _trained(spark, d), K, PROBES)
+    return _recall(_exact_ids(spark, d), found).select("queries", F.round("recall", 6).alias("recall"))
 
 
 def hnsw_levels(spark, d):
-    """Geometric level of each node from md5, for 16 links a node."""
-    u = (F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("double") + 1) / 4294967296.0
-    return _vectors(spark, d).select("vec_id", F.least(F.lit(32), F.floor(-F.log(u) / F.log(F.lit(16.0)))).cast("long").alias("level"))
+    """Level of each node by the law of the graphs."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels_of(batch.column(0).to_numpy()), pa.int64())], ["vec_id", "level"])
+
+    return _vectors(spark, d).select("vec_id").mapInArrow(run, "vec_id bigint, level bigint")
 
 
 def hnsw_search(spark, d):
-    return _ranked(hnsw.search(_asked(spark, d), _vectors(spark, d), K, DIM))
+    return _ranked(_stored(spark, _plain(_vectors(spark, d)), "hnsw", exact=256).search(_asked(spark, d), K))
 
 
 def graph_expand(spark, d):
     """Nodes two hops from the query nodes in the lowest layer of the graphs."""
-    edges = hnsw.edges(_vectors(spark, d), DIM).filter("layer = 0").select("src", "dst")
+    edges = hnsw.edges(_stored(spark, _plain(_vectors(spark, d)), "hnsw").nodes()).filter("layer = 0").select("src", "dst")
     hop = _asked(spark, d).select(F.col("query_id").alias("src"), "query_id").join(edges, "src").select("query_id", F.col("dst").alias("src")).distinct()
     return hop.join(edges, "src").select("query_id", F.col("dst").alias("vec_id")).distinct()
 
@@ -209,7 +286,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dot_products, l2_distance, cosine_unnormalized, vector_norms, normalize, vector_scan_stats, vector_lookup, mean_pool, knn_exact, knn_batch, knn_filtered, knn_exclude, multi_query, knn_graph, ivf_assign, ivf_postings,
-        ivf_list_sizes, kmeans_step, kmeans_3, kmeans_shift, ivf_probe, ivf_search, ivf_roundtrip, recall_at_k, hnsw_levels, hnsw_search, graph_expand,
+        ivf_list_sizes, kmeans_step, kmeans_3, kmeans_shift, ivf_probe, ivf_search, ivf_roundtrip, ivf_add, index_add, index_recall, recall_at_k, hnsw_levels, hnsw_roundtrip, hnsw_search, graph_expand,
     )
 }
 
@@ -218,6 +295,7 @@ _DOT = "list_inner_product({}::DOUBLE[], {}::DOUBLE[])"
 _AB = _DOT.format("a.embedding", "b.embedding")
 _ASKED = "q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 20 = 0)"
 _C0 = f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cid, embedding::DOUBLE[] AS c FROM (SELECT * FROM embeddings ORDER BY md5(vec_id::VARCHAR) LIMIT {LISTS}))"
+_HALF = _C0.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 2 = 0")
 
 
 def _top(source: str, k: int = K, more: str = "") -> str:
@@ -245,8 +323,9 @@ def _flat(n: int) -> str:
     return f"SELECT cid::BIGINT AS cid, pos::BIGINT AS pos, round(x, 6) + 0.0 AS x FROM (SELECT cid, unnest(range(0, {DIM})) AS pos, unnest(c) AS x FROM c{n})"
 
 
-_PROBED = f"p AS (SELECT query_id, qe, cid, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cid) - 1 AS rank FROM (SELECT query_id, qe, cid, list_inner_product(qe::DOUBLE[], c) AS s FROM q, c0))"
-_IVF = f"SELECT p.query_id, e.vec_id, {_DOT.format('p.qe', 'e.embedding')} AS score FROM p JOIN a0 USING (cid) JOIN embeddings e USING (vec_id) WHERE p.rank < {PROBES}"
+_C3 = f"{_C0}, {_round(0)}, {_round(1)}, {_round(2)}"
+_PROBED = f"p AS (SELECT query_id, qe, cid, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cid) - 1 AS rank FROM (SELECT query_id, qe, cid, list_inner_product(qe::DOUBLE[], c) AS s FROM q, c3))"
+_IVF = f"SELECT p.query_id, e.vec_id, {_DOT.format('p.qe', 'e.embedding')} AS score FROM p JOIN a3 USING (cid) JOIN embeddings e USING (vec_id) WHERE p.rank < {PROBES}"
 _LONG_DOT = "list_inner_product(list_transform(qe::DOUBLE[], lambda x: x * (1 + query_id % 7)), list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7)))"
 
 ORACLES = {
@@ -263,16 +342,20 @@ ORACLES = {
     "knn_filtered": f"WITH {_ASKED} {_top(_search('label = ql'))}",
     "knn_exclude": f"WITH {_ASKED} {_top(_search('label <> ql'))}",
     "multi_query": f"WITH {_ASKED}, x AS ({_top(_search())}), m AS (SELECT q.ql AS topic, x.vec_id, max(x.score) AS score FROM x JOIN q USING (query_id) GROUP BY 1, 2) SELECT topic, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, vec_id) - 1 AS rank FROM m) WHERE rank < {K}",
-    "knn_graph": f"WITH {_ASKED}, e AS (SELECT query_id AS src, vec_id AS dst FROM ({_top(_search('vec_id <> query_id'), 8)})) SELECT e.src, e.dst, b.src IS NOT NULL AS mutual FROM e LEFT JOIN e b ON b.src = e.dst AND b.dst = e.src",
-    "ivf_assign": f"WITH {_C0}, {_assigned(0)} SELECT vec_id, cid FROM a0",
-    "ivf_postings": f"WITH {_C0}, {_assigned(0)} SELECT cid, row_number() OVER (PARTITION BY cid ORDER BY vec_id) - 1 AS pos, vec_id FROM a0",
-    "ivf_list_sizes": f"WITH {_C0}, {_assigned(0)}, s AS (SELECT c0.cid, count(a0.vec_id) AS n FROM c0 LEFT JOIN a0 USING (cid) GROUP BY c0.cid) SELECT count(*) AS lists, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, sum(n)::BIGINT AS total FROM s",
+    "knn_graph": f"WITH {_ASKED.replace(' WHERE vec_id % 20 = 0', '')}, e AS (SELECT query_id AS src, vec_id AS dst FROM ({_top(_search('vec_id <> query_id'), 8)})) SELECT e.src, e.dst, b.src IS NOT NULL AS mutual FROM e LEFT JOIN e b ON b.src = e.dst AND b.dst = e.src WHERE e.src % 20 = 0",
+    "ivf_assign": f"WITH {_C3}, {_assigned(3)} SELECT vec_id, cid FROM a3",
+    "ivf_postings": f"WITH {_C3}, {_assigned(3)} SELECT cid, row_number() OVER (PARTITION BY cid ORDER BY vec_id) - 1 AS pos, vec_id FROM a3",
+    "ivf_list_sizes": f"WITH {_C3}, {_assigned(3)}, s AS (SELECT c3.cid, count(a3.vec_id) AS n FROM c3 LEFT JOIN a3 USING (cid) GROUP BY c3.cid) SELECT count(*) AS lists, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, sum(n)::BIGINT AS total FROM s",
     "kmeans_step": f"WITH {_C0}, {_round(0)} {_flat(1)}",
     "kmeans_3": f"WITH {_C0}, {_round(0)}, {_round(1)}, {_round(2)} {_flat(3)}",
     "kmeans_shift": f"WITH {_C0}, {_round(0)} SELECT round(sqrt(sum(s)), 6) AS shift FROM (SELECT list_sum(list_transform(list_zip(c0.c, c1.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS s FROM c0 JOIN c1 USING (cid))",
-    "ivf_probe": f"WITH {_ASKED}, {_C0}, {_PROBED} SELECT query_id, rank, cid, round(s, 6) AS score FROM p WHERE rank < {PROBES}",
-    "ivf_search": f"WITH {_ASKED}, {_C0}, {_assigned(0)}, {_PROBED} {_top(_IVF)}",
-    "ivf_roundtrip": f"WITH {_C0}, {_assigned(0)} SELECT cid, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM a0 GROUP BY cid",
-    "recall_at_k": f"WITH {_ASKED}, {_C0}, {_assigned(0)}, {_PROBED}, x AS ({_top(_search())}), y AS ({_top(_IVF)}), r AS (SELECT x.query_id, count(y.vec_id) / {K}.0::DOUBLE AS recall FROM x LEFT JOIN y USING (query_id, vec_id) GROUP BY x.query_id) SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM r",
-    "hnsw_levels": "SELECT vec_id, least(32, floor(-ln((('0x' || substring(md5(vec_id::VARCHAR), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE) / ln(16.0)))::BIGINT AS level FROM embeddings",
+    "ivf_probe": f"WITH {_ASKED}, {_C3}, {_PROBED} SELECT query_id, rank, cid, round(s, 6) AS score FROM p WHERE rank < {PROBES}",
+    "ivf_search": f"WITH {_ASKED}, {_C3}, {_assigned(3)}, {_PROBED} {_top(_IVF)}",
+    "ivf_roundtrip": f"WITH {_C3}, {_assigned(3)} SELECT cid, count(*) AS n, sum(vec_id)::BIGINT AS ids, round(any_value(c[1]), 6) AS head, round(any_value(list_sum(c)), 6) AS total FROM a3 JOIN c3 USING (cid) GROUP BY cid",
+    "ivf_add": f"WITH {_HALF}, {_assigned(0)} SELECT cid, count(*) AS n, sum(vec_id)::BIGINT AS ids, round(any_value(c[1]), 6) AS head, round(any_value(list_sum(c)), 6) AS total FROM a0 JOIN c0 USING (cid) GROUP BY cid",
+    "index_add": f"WITH {_ASKED} {_top(_search())}",
+    "index_recall": "SELECT kind, (SELECT count(*) FROM vector_store WHERE row_id % 20 = 0 AND embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) AS queries, true AS found, true AS selective FROM (VALUES ('ivf'), ('hnsw')) t(kind)",
+    "hnsw_roundtrip": f"SELECT vec_id, {4 * DIM}::BIGINT AS bytes, true AS linked FROM embeddings",
+    "recall_at_k": f"WITH {_ASKED}, {_C3}, {_assigned(3)}, {_PROBED}, x AS ({_top(_search())}), y AS ({_top(_IVF)}), r AS (SELECT x.query_id, count(y.vec_id) / {K}.0::DOUBLE AS recall FROM x LEFT JOIN y USING (query_id, vec_id) GROUP BY x.query_id) SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM r",
+    "hnsw_levels": "WITH x0 AS (SELECT vec_id, (vec_id::UHUGEINT * 11400714819323198485 % 18446744073709551616)::UBIGINT AS x FROM embeddings), x1 AS (SELECT vec_id, (xor(x, x >> 29)::UHUGEINT * 13787848793156543929 % 18446744073709551616)::UBIGINT AS x FROM x0) SELECT vec_id, least(12, floor(-ln((xor(x, x >> 32)::DOUBLE + 1) / 18446744073709551616.0::DOUBLE) / ln(8.0)))::BIGINT AS level FROM x1",
 }
