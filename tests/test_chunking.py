@@ -1,12 +1,14 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veldra.functions import text as T
+from veldra.functions.buffers import code_points
 from veldra.operators import chunking, embed
 
 
@@ -54,6 +56,33 @@ def test_recursive_random(spark, texts):
     assert all(got[i] == plain_recursive(t, chunking.SEPARATORS, 12, 3) for i, t in enumerate(texts))
 
 
+def cut(texts, separators, size, overlap):
+    chars, at, _, _ = code_points(pa.array(texts, pa.large_string()))
+    span, length, of, bounds = chunking._cut(chars, at[:-1], at[1:], separators, size, overlap)
+    whole = "".join(map(chr, chars))
+    out = [[] for _ in texts]
+    for i, (s, n) in enumerate(zip(span, length)):
+        piece = "".join(whole[a:b] for a, b in bounds[of == i])
+        assert len(piece) == n
+        out[s].append(piece)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab. \né", min_size=1, max_size=80), min_size=1, max_size=6), st.sampled_from([(12, 3), (5, 0), (2, 1), (30, 10)]), st.sampled_from([chunking.SEPARATORS, ("\n", " "), (". ", ""), ("\n\n\n", "aa", "")]))
+def test_cut_of_batches(texts, sizes, separators):
+    """All texts of a batch at once, against the plain statement."""
+    assert cut(texts, separators, *sizes) == [plain_recursive(t, separators, *sizes) for t in texts]
+
+
+def test_length_function(spark):
+    """Pieces measured in words: the caller's function takes the place of the number of characters."""
+    df = spark.createDataFrame([(0, "one two. three four. five six seven. eight")], "doc_id int, text string")
+    words = lambda c: F.size(F.filter(F.split(c, " "), lambda x: x != ""))
+    got = [r["chunk"] for r in chunking.chunk(df, size=4, overlap=0, separators=(". ",), length=words).orderBy("chunk_id").collect()]
+    assert got == ["one twothree four", "five six seveneight"]
+
+
 def test_fixed(spark):
     df = spark.createDataFrame([(0, "x" * 1000), (1, "ab"), (2, ""), (3, None)], "doc_id int, text string")
     got = [(r["doc_id"], len(r["chunk"])) for r in chunking.chunk(df, "fixed").orderBy("doc_id", "chunk_id").collect()]

@@ -1,5 +1,7 @@
 import math
 import random
+
+import numpy as np
 from datetime import UTC, datetime
 from email.utils import format_datetime
 
@@ -97,3 +99,21 @@ def test_calls_in_window(spark):
 def test_redact(spark):
     got = spark.createDataFrame([("Write to a.b@c.org or +1 (555) 123-4567, pay $1,200.50.",)], "t string").select(quality.redact(F.col("t"))).first()[0]
     assert got == "Write to [EMAIL] or [PHONE], pay [AMOUNT]."
+
+
+def test_percentiles(spark):
+    rng = random.Random(7)
+    rows = [(g, rng.choice([rng.gauss(0, 1), 3.0, 3.0, -1.0]) if g != "one" else 4.0) for g in "ab" for _ in range(700)] + [("one", 4.0), ("b", None)]
+    got = {r["g"]: r for r in quality.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p0": 0.0, "p37": 0.37, "p99": 0.99, "p100": 1.0}, spans=20).collect()}
+    for g in ("a", "b", "one"):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert got[g]["n"] == len(v) and all(abs(got[g][f"p{p}"] - np.quantile(v, p / 100)) < 1e-9 for p in (0, 37, 99, 100))
+    assert quality.percentiles(spark.createDataFrame([], "g string, v double"), "g", "v", {"p": 0.5}).count() == 0
+
+
+def test_limits_by_kind(spark):
+    df = spark.createDataFrame([("a", 5.0), ("a", 3.0), ("b", 5.0), (None, 9.0), ("a", None)], "k string, v double")
+    got = sorted((r["k"] or "", r["v"], r["limit"], r["excess"]) for r in quality.over_limit(df, "k", F.col("v"), {"a": 4}, 6).collect())
+    assert got == [("", 9.0, 6.0, 3.0), ("a", 5.0, 4.0, 1.0)] and quality.over_limit(df, "k", F.col("v"), {}, 4).count() == 3
+    live = quality.live_by_kind(df, "k", F.col("v"), 7, {"a": 3}, 10)
+    assert sorted((r["k"], r["v"]) for r in live.collect()) == [("a", 5.0), ("b", 5.0)]

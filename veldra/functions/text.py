@@ -51,3 +51,12 @@ def coerce_kind(value: Column) -> Column:
     return (
         F.when(F.lower(value).isin("true", "false"), "bool").when(value.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), "int").when(value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"), "float").otherwise("str")
     )
+
+
+def coerced(value: Column) -> Column:
+    """The value that a literal of the configuration has: STRUCT<kind, flag, whole, real, text>, of which the field of its kind is set."""
+    kind = coerce_kind(value)
+    bare = F.replace(F.trim(value), F.lit("_"), F.lit(""))
+    return F.struct(
+        kind.alias("kind"), F.when(kind == "bool", F.lower(value) == "true").alias("flag"), F.when(kind == "int", bare.try_cast("bigint")).alias("whole"), F.when(kind == "float", bare.try_cast("double")).alias("real"), F.when(kind == "str", value).alias("text")
+    )

@@ -1,14 +1,20 @@
-"""Chunking as column expressions: recursive by separators, fixed windows, semantic by sentence similarity.
+"""Chunking: recursive by separators, fixed windows, semantic by sentence similarity.
 
 Chunk columns: chunk_id from 0 in each document, text, token_start and token_end as running sums of length // 4. Null and empty
-texts have no chunks. The recursive way drops separators where it merges, and overlaps only windows cut by characters.
+texts have no chunks. The recursive way drops separators where it merges, and overlaps only windows cut by characters; it works on
+the boundary masks of all texts of an Arrow batch at once, or as a column expression where lengths are measured by a caller's function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldra.functions.buffers import code_points, ranges, raw_bytes, slices, string_column
 
 #: Separators, strongest first; the empty one stands for windows of characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -25,7 +31,7 @@ def windows(text: Column, size: int, step: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.substring(text, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def merge_small(pieces: Column, size: int) -> Column:
+def merge_small(pieces: Column, size: int, length: Callable[[Column], Column] = F.length) -> Column:
     """Neighbouring pieces joined from left to right while their length stays within ``size``."""
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
@@ -33,21 +39,134 @@ def merge_small(pieces: Column, size: int) -> Column:
         first = F.struct(a["done"].alias("done"), x.alias("open"))
         joined = F.struct(a["done"].alias("done"), F.concat(a["open"], x).alias("open"))
         closed = F.struct(F.array_append(a["done"], a["open"]).alias("done"), x.alias("open"))
-        return F.when(a["open"].isNull(), first).when(F.length(a["open"]) + F.length(x) <= size, joined).otherwise(closed)
+        return F.when(a["open"].isNull(), first).when(length(a["open"]) + length(x) <= size, joined).otherwise(closed)
 
     return F.aggregate(pieces, state, step, lambda a: F.array_append(a["done"], a["open"]))
 
 
-def recursive(text: Column, size: int = 512, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> Column:
-    """Chunks of a text as an array; the expression is nested once for each separator."""
+def recursive(text: Column, size: int = 512, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS, length: Callable[[Column], Column] = F.length) -> Column:
+    """Chunks of a text as an array; the expression is nested once for each separator. Windows are cut by characters whatever ``length`` measures."""
     _check(size, overlap)
     if not separators:
         return F.array(text)
     if separators[0] == "":
         return windows(text, size, size - overlap)
     parts = F.split(text, "\\Q" + separators[0] + "\\E", -1)
-    deeper = F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(recursive(p, size, overlap, separators[1:])))
-    return merge_small(F.flatten(deeper), size)
+    deeper = F.transform(parts, lambda p: F.when(length(p) <= size, F.array(p)).otherwise(recursive(p, size, overlap, separators[1:], length)))
+    return merge_small(F.flatten(deeper), size, length)
+
+
+def _places(chars: np.ndarray, separator: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the separator stands in the spans, from left to right without overlap, and in which span."""
+    codes = [ord(c) for c in separator]
+    n = len(chars) - len(codes) + 1
+    hit = np.ones(max(n, 0), bool)
+    for i, c in enumerate(codes):
+        hit &= chars[i : i + n] == c
+    at = np.flatnonzero(hit)
+    span = np.searchsorted(start, at, "right") - 1
+    inside = (span >= 0) & (at + len(codes) <= end[np.maximum(span, 0)])
+    at, span = at[inside], span[inside]
+    if len(codes) > 1 and len(at) and len(set(codes)) == 1:
+        # of a run of overlapping hits every second one (third, ...) counts
+        fresh = np.append(True, (at[1:] != at[:-1] + 1) | (span[1:] != span[:-1]))
+        place = np.arange(len(at))
+        keep = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % len(codes) == 0
+        at, span = at[keep], span[keep]
+    return at, span
+
+
+def _merged(owner: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """Number of the chunk of each piece (owners in order): pieces of an owner joined from left to right up to ``size``; all owners go on together."""
+    upto = np.append(0, np.cumsum(length))
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(owner))
+    begins = np.zeros(len(owner), bool)
+    at = first
+    while len(at):
+        begins[at] = True
+        # the piece that begins a chunk is in it, whatever its length
+        stop = np.minimum(np.maximum(np.searchsorted(upto, upto[at] + size, "right") - 1, at + 1), last)
+        more = stop < last
+        at, last = stop[more], last[more]
+    return np.cumsum(begins) - 1
+
+
+def _cut(chars: np.ndarray, start: np.ndarray, end: np.ndarray, separators: tuple[str, ...], size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of spans of ``chars``: of each chunk its span and length; and the parts it is made of: their chunk and start (with lengths by ``np.diff`` of ends)."""
+    if not separators:
+        span = np.arange(len(start))
+        return span, end - start, span, np.stack([start, end], 1)
+    if separators[0] == "":
+        step = size - overlap
+        many = -(-(end - start) // step)
+        span = np.repeat(np.arange(len(start)), many)
+        a = start[span] + ranges(np.zeros(len(start), np.int64), many) * step
+        b = np.minimum(a + size, end[span])
+        return span, b - a, np.arange(len(span)), np.stack([a, b], 1)
+    at, span = _places(chars, separators[0], start, end)
+    owner = np.concatenate([np.arange(len(start)), span])
+    a, b = np.concatenate([start, at + len(separators[0])]), np.concatenate([end, at])
+    # parts lie between separators: a part begins where its span does or behind a separator, and ends before the next
+    order = np.lexsort((a, owner))
+    owner, a = owner[order], a[order]
+    b = b[np.lexsort((b, np.concatenate([np.arange(len(start)), span])))]
+    small = b - a <= size
+    part = np.arange(len(a))
+    deep = np.flatnonzero(~small)
+    d_span, d_length, d_chunk, d_bounds = _cut(chars, a[deep], b[deep], separators[1:], size, overlap) if len(deep) else (np.zeros(0, np.int64),) * 3 + (np.zeros((0, 2), np.int64),)
+    # pieces: small parts as they are, and the chunks of the larger ones, in order of place
+    p_part = np.concatenate([part[small], deep[d_span]]) if len(deep) else part[small]
+    p_length = np.concatenate([(b - a)[small], d_length])
+    order = np.argsort(p_part, kind="stable")
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    chunk = _merged(owner[p_part[order]], p_length[order], size)
+    chunk_of = chunk[where]
+    few = int(small.sum())
+    bounds = np.concatenate([np.stack([a[small], b[small]], 1), d_bounds])
+    of = np.concatenate([chunk_of[:few], chunk_of[few:][d_chunk]]) if len(deep) else chunk_of
+    order2 = np.lexsort((bounds[:, 0], of))
+    firsts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
+    lengths = np.add.reduceat(p_length[order], firsts) if len(firsts) else np.zeros(0, np.int64)
+    return owner[p_part[order]][firsts], lengths, of[order2], bounds[order2]
+
+
+SLICE_BYTES = 8 << 20
+
+
+def recursive_chunks(rows: DataFrame, keep: tuple[str, ...], text_col: str, size: int = 512, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """``keep`` columns and ``(chunk_id, chunk, token_start, token_end)`` of each chunk of texts that aren't empty."""
+    _check(size, overlap)
+    kept = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = string_column(batch.column(kept))
+            for x, y in slices(np.diff(raw_bytes(text)[1]), SLICE_BYTES):
+                chars, at, byte_at, data = code_points(text.slice(x, y - x))
+                some = np.flatnonzero(np.diff(at) > 0)
+                span, length, of, bounds = _cut(chars, at[some], at[some + 1], separators, size, overlap)
+                if not len(span):
+                    continue
+                a, b = byte_at[bounds[:, 0]], byte_at[bounds[:, 1]]
+                buffer = np.ascontiguousarray(data[ranges(a, b - a)])
+                ends = np.append(0, np.cumsum(np.bincount(of, (b - a).astype(np.float64), len(span)).astype(np.int64)))
+                chunk = pa.LargeStringArray.from_buffers(len(span), pa.py_buffer(ends), pa.py_buffer(buffer)).cast(pa.string())
+                new = np.append(True, span[1:] != span[:-1])
+                number = np.arange(len(span))
+                number -= np.maximum.accumulate(np.where(new, number, 0))
+                tokens = np.cumsum(length // 4)
+                before = tokens - length // 4
+                base = np.maximum.accumulate(np.where(new, before, 0))
+                row = pa.array(some[span] + x)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(kept)), pa.array(number, pa.int32()), chunk, pa.array(before - base), pa.array(tokens - base)], names)
+
+    names = [f"_k{i}" for i in range(kept)] + ["chunk_id", "chunk", "token_start", "token_end"]
+    picked = rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], text_col)
+    kinds = ", ".join(f"_k{i} {picked.schema[i].dataType.simpleString()}" for i in range(kept))
+    out = picked.mapInArrow(run, ", ".join(filter(None, [kinds, "chunk_id int, chunk string, token_start bigint, token_end bigint"])))
+    return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
 def fixed(text: Column, size: int = 512, overlap: int = 50) -> Column:
@@ -86,11 +205,13 @@ STRATEGIES = {"recursive": recursive, "fixed": fixed}
 
 
 def chunk(df: DataFrame, strategy: str = "recursive", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), **params) -> DataFrame:
-    """One row per chunk: the ``keep`` columns, chunk_id INT, chunk, token_start and token_end BIGINT."""
+    """One row per chunk: the ``keep`` columns, chunk_id INT, chunk, token_start and token_end BIGINT. ``length`` (Column to Column) measures pieces of the recursive way otherwise than in characters."""
     if strategy not in (*STRATEGIES, "semantic"):
         raise ValueError(f"unknown chunking strategy: {strategy}")
     if strategy == "semantic":
         return semantic_chunks(df, text_col, keep, **params)
+    if strategy == "recursive" and "length" not in params:
+        return recursive_chunks(df.filter(F.length(text_col) > 0), keep, text_col, **params)
     rows = df.filter(F.length(text_col) > 0).select(*keep, STRATEGIES[strategy](F.col(text_col), **params).alias("chunks"))
     return number_chunks(rows, keep)
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from veldra.operators.ordered import first_seen
 
 EARTH_M = 6_371_000.0
-#: Months of mail dates, kinds of eating places, parts of an address.
+#: Months of mail dates, kinds of eating places, parts of an address, beginnings of log lines.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 FOOD = "restaurant|cafe|fast_food|food_court"
 ADDRESS = ("addr:housenumber", "addr:street", "addr:city", "addr:state")
+LOG_LINE = "^(===|2026-)"
 MAIL_DATE = r"^\s*(?:[A-Za-z]{3},\s+)?(\d{1,2})\s+([A-Z][a-z]{2})\s+(\d{4})\s+(\d{2}:\d{2}:\d{2})\s+(GMT|UTC|UT|[+-]\d{4})\s*$"
 
 

@@ -26,3 +26,15 @@ def outbox(hours: DataFrame, recipient: Column) -> DataFrame:
     body = F.concat_ws("\n", F.concat(F.lit("Temperature: "), temperature), F.format_string("Probability: %.0f%%", F.round("probability", 0)), F.format_string("Amount: %.2f in", F.round("amount", 2)), F.lit("Rain likely: Yes"))
     rows = hours.withColumn("recipient", recipient).filter(F.col("rain_likely") & (F.length("recipient") > 0))
     return rows.withColumn("subject", F.concat(F.lit("Weather alert for "), F.col("city"))).withColumn("body", body)
+
+
+def html_body(extra: str = "") -> Column:
+    """HTML body of a message from the columns of ``current_hour`` and ``city``: a table of the four values. A temperature of null or 0 is N/A."""
+    number = lambda c: F.col(c).cast("string")
+    temperature = F.when(F.col("temperature").isNull() | (F.col("temperature") == 0), "N/A").otherwise(number("temperature"))
+    rows = (("Temperature", F.concat(temperature, F.lit(" °F"))), ("Rain Probability", F.concat(number("probability"), F.lit("%"))), ("Rain Amount", F.format_string("%.2f in", F.round("amount", 2))), ("Rain Likely", F.when(F.col("rain_likely"), "Yes").otherwise("No")))
+    table = F.concat(*[x for name, value in rows for x in (F.lit(f"<tr><th>{name}</th><td>"), value, F.lit("</td></tr>"))])
+    city = F.coalesce("city", F.lit(""))
+    for mark, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        city = F.replace(city, F.lit(mark), F.lit(safe))
+    return F.concat(F.lit("<html><body><h2>Weather Alert for "), city, F.lit("</h2><table>"), table, F.lit(f"</table>{extra}</body></html>"))

@@ -145,10 +145,10 @@ class _Centred(Index):
 
 @register("ivf")
 class Inverted(_Centred):
-    """Inverted lists. ``lists`` 0: four times the root of the number of vectors; ``probes`` 0: as many as find ``share`` of the exact
-    neighbours of some vectors, measured when the index is built; ``sample`` 0: see ``ivf.train``."""
+    """Inverted lists. ``lists`` 0: four times the root of the number of vectors; ``probes`` 0: as many as find ``share`` of the ``near``
+    exact neighbours of some vectors, measured when the index is built; ``sample`` 0: see ``ivf.train``."""
 
-    defaults = {"lists": 0, "probes": 0, "share": 0.95, "rounds": 20, "sample": 0}
+    defaults = {"lists": 0, "probes": 0, "share": 0.95, "near": 50, "rounds": 20, "sample": 0}
     LISTS = "cid int, id bigint, vec array<float>"
 
     def _make(self, vectors: DataFrame) -> None:
@@ -158,7 +158,7 @@ class Inverted(_Centred):
         self._save_centroids(centroids)
         self._append(vectors, centroids, "overwrite")
         if not self.params["probes"]:
-            self.params["probes"] = ivf.probes_needed(self.lists().select("id", F.col("vec").alias("embedding")), centroids, self.params["share"], id_col="id") if k else 1
+            self.params["probes"] = ivf.probes_needed(self.lists().select("id", F.col("vec").alias("embedding")), centroids, self.params["share"], self.params["near"], id_col="id") if k else 1
 
     def _append(self, vectors: DataFrame, centroids: np.ndarray, mode: str) -> None:
         lists = ivf.listed(vectors, centroids, "id") if len(centroids) else self.spark.createDataFrame([], self.LISTS)

@@ -188,12 +188,12 @@ def score_lists(probed: DataFrame, lists: DataFrame, sizes: np.ndarray, k: int,
     return found.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).filter(F.col("rank") < k).select("query_id", "rank", "id", "score")
 
 
-def probes_needed(vectors: DataFrame, centroids: np.ndarray, share: float = 0.95, k: int = 10, asked: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
-    """The least number of probes with which ``asked`` of the vectors find ``share`` of their exact ``k`` nearest."""
+def probes_needed(vectors: DataFrame, centroids: np.ndarray, share: float = 0.95, k: int = 50, asked: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """The least number of probes with which ``asked`` of the vectors find ``share`` of their exact ``k`` nearest others."""
     dim = centroids.shape[1]
     queries = vectors.orderBy(F.md5(F.col(id_col).cast("string"))).limit(asked).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("embedding"))
     queries = materialize(queries, "asked")
-    near = materialize(knn.search(queries, vectors, k, dim, id_col, vector_col=vector_col), "near")
+    near = materialize(knn.search(queries, vectors, k + 1, dim, id_col, vector_col=vector_col).filter("id <> query_id"), "near")
     homes = listed(vectors.join(F.broadcast(near.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi"), centroids, id_col, vector_col, False)  # at most asked x k
     ranks = near.join(homes, "id").join(probe(queries, centroids, len(centroids)).select("query_id", "cid", F.col("rank").alias("place")), ["query_id", "cid"])
     places = np.sort([r["place"] for r in ranks.select("place").collect()])  # at most asked x k

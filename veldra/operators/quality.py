@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 REDACTIONS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"), (r"\+?\d{1,3}[ -]\(?\d{3}\)?[ -]\d{3}[ -]\d{4}", "[PHONE]"), (r"\$\d[\d,]*(\.\d+)?", "[AMOUNT]"))
 INJECTIONS = r"(?i)(ignore (all |any )?(previous|prior|above) (instructions|prompts)|disregard the (system|above)|you are now|reveal (the|your) (system )?prompt|developer mode)"
 
+#: Instructions that attacks inject, and how near a text must come to one.
+ATTACKS = ("ignore all previous instructions", "reveal the system prompt", "you are now in developer mode", "disregard the rules above")
+ATTACK_LEAST = 0.3
+
 
 def redact(text: Column) -> Column:
     for pattern, mark in REDACTIONS:
@@ -31,3 +35,46 @@ def calls_in_window(df: DataFrame, who: str, second: Column, width: int, out: st
 def share(key: Column, percent: int) -> Column:
     """Whether a key falls into a stable ``percent`` of all keys."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % 100 < percent
+
+
+def over_limit(df: DataFrame, kind: str, value: Column, limits: dict[str, float], default: float) -> DataFrame:
+    """Rows whose ``value`` is above the limit of their ``kind``, with ``limit`` and ``excess``; kinds without one have the default."""
+    table = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))])
+    limit = F.coalesce(F.element_at(table, F.col(kind)) if limits else F.lit(None), F.lit(float(default)))
+    return df.withColumns({"limit": limit, "excess": value - limit}).filter("excess > 0")
+
+
+def live_by_kind(df: DataFrame, kind: str, made: Column, now: int, seconds: dict[str, int], default: int) -> DataFrame:
+    """Rows that haven't expired at ``now``: each kind has its own time to live."""
+    table = F.create_map(*[x for k, v in seconds.items() for x in (F.lit(k), F.lit(int(v)))])
+    ttl = F.coalesce(F.element_at(table, F.col(kind)) if seconds else F.lit(None), F.lit(int(default)))
+    return df.filter((made <= now) & (made + ttl > now))
+
+
+def percentiles(df: DataFrame, group: str, value: str, points: dict[str, float], spans: int = 1000) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of each group, one column a point, and ``n``; null values don't count.
+
+    No group is held in one place: values are counted in spans of a range, the spans that hold the wanted ranks are found from the
+    counts, and only their rows are ranked. Spans follow approximate quantiles, so they are of like size however values are spread.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    edges = rows.groupBy(group).agg(F.percentile_approx("_v", F.array(*[F.lit(i / spans) for i in range(1, spans)]), 10 * spans).alias("_edges"), F.count("*").alias("n"))
+    # the span of a value is the number of edges below it, found by halving
+    rows = rows.join(F.broadcast(edges), group) if group else rows
+    span = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    placed = rows.withColumn("_span", span).select(group, "_v", "_span", "n")
+    counts = placed.groupBy(group, "_span", "n").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(group).orderBy("_span")) - F.col("_c")
+    counts = counts.withColumn("_before", before)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(points.values())])
+    # a point lies between two neighbouring ranks, which may be in two spans
+    hits = counts.select(group, "_span", "_before", "_c", F.explode(F.flatten(F.transform(wanted, lambda w: F.array(F.struct(w["i"].alias("i"), w["at"].alias("at"), F.floor(w["at"]).alias("rank")), F.struct(w["i"].alias("i"), w["at"].alias("at"), F.ceil(w["at"]).alias("rank")))))).alias("w"))
+    hits = hits.filter((F.col("w.rank") >= F.col("_before")) & (F.col("w.rank") < F.col("_before") + F.col("_c"))).select(group, "_span", "_before", "w.i", "w.at", "w.rank").distinct()
+    needed = hits.select(group, "_span", "_before").distinct()
+    ranked = placed.join(F.broadcast(needed), [group, "_span"]).withColumn("rank", F.row_number().over(Window.partitionBy(group, "_span").orderBy("_v")) - 1 + F.col("_before"))
+    found = ranked.select(group, "_span", "rank", "_v").join(F.broadcast(hits.select(group, "_span", "i", "at", "rank")), [group, "_span", "rank"])
+    low, high = F.min("_v"), F.max("_v")
+    part = F.max(F.col("at") - F.floor("at"))
+    each = found.groupBy(group, "i").agg((low + (high - low) * part).alias("_p"))
+    wide = each.groupBy(group).agg(*[F.max(F.when(F.col("i") == i, F.col("_p"))).alias(name) for i, name in enumerate(points)])
+    return wide.join(edges.select(group, "n"), group)

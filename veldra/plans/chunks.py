@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldra.functions import text as T
 from veldra.functions import vec
-from veldra.operators import chunking, embed, knn, ordered, rank, store
+from veldra.operators import chunking, embed, knn, ordered, quality, rank, store
 from veldra.runtime import materialize, read_table, scratch_path
 
 DIM, RETRIEVED, KEPT = 64, 20, 5
@@ -104,8 +104,8 @@ def _retrieved(spark, d) -> DataFrame:
     """The best documents for the title of every document whose id is divisible by 20."""
     docs = _docs(spark, d).filter("length(text) > 0")
     asked = _docs(spark, d).filter("doc_id % 20 = 0 and length(title) > 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
-    vectors = embed.embed(docs.select("doc_id", "text")).select("doc_id", "embedding")
-    queries = embed.embed(asked, text_col="query").select("query_id", "embedding")
+    vectors = materialize(embed.embed(docs.select("doc_id", "text")).select("doc_id", "embedding"), "vectors")
+    queries = materialize(embed.embed(asked, text_col="query").select("query_id", "embedding"), "queries")
     hits = knn.search(queries, vectors, RETRIEVED, DIM, id_col="doc_id")
     return hits.select("query_id", F.col("rank").alias("retrieved_rank"), F.col("id").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
 
@@ -210,14 +210,36 @@ def result_envelope(spark, d):
 
 
 def coerce_literal(spark, d):
-    return read_table(spark, d, "news_items").filter("date is not null").select("item_id", T.coerce_kind(F.col("date")).alias("kind"))
+    rows = read_table(spark, d, "news_items").filter("date is not null").select("item_id", T.coerced(F.col("date")).alias("v"))
+    return rows.select("item_id", "v.kind", "v.flag", "v.whole", "v.real", "v.text")
+
+
+def unranked(spark, d):
+    """The best passages as they were found: the way without a reranker."""
+    return rank.unranked(_retrieved(spark, d), KEPT).select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id")
+
+
+def attack_similarity(spark, d):
+    """Titles that are close to a known injected instruction, and to which: by the cosine of hashed words."""
+    patterns = embed.hash_texts(list(quality.ATTACKS), DIM)
+    titles = embed.embed(_docs(spark, d).filter("length(title) > 0").select("doc_id", "title"), text_col="title")
+    near = F.array(*[F.struct(F.round(vec.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in row])), 6).alias("similarity"), F.lit(-i).alias("at")) for i, row in enumerate(patterns)])
+    best = titles.withColumn("best", F.array_max(near)).select("doc_id", (-F.col("best.at")).cast("bigint").alias("pattern"), F.col("best.similarity").alias("similarity"))
+    return best.filter(F.col("similarity") >= quality.ATTACK_LEAST)
+
+
+def doc_by_position(spark, d):
+    """Documents without an id are named by how many chunks come before them."""
+    rows = _docs(spark, d).filter("length(text) > 0").select("doc_id", F.ceil(F.length("text") / 462).alias("n"))
+    numbered = ordered.running_sum(rows.withColumn("_all", F.lit(0)), "_all", "doc_id", F.col("n"), "upto")
+    return numbered.select("doc_id", F.concat(F.lit("doc_"), (F.col("upto") - F.col("n")).cast("string")).alias("id"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, chunk_fixed, chunk_recursive, chunk_with_metadata, chunk_stats, sentences, chunk_semantic, heading_split, semantic_boundaries, semantic_segments, embed_hashing, e5_prefix, rerank_lexical, prompt_budget,
-        prompt_replug, prompt_rag_sequence, prompt_fid, fallback_answer, coverage_bands, query_expand, append_row_ids, hit_metadata_join, json_encode, json_open_tail, scan_jsonl, doc_defaults, format_hits, result_envelope, coerce_literal,
+        prompt_replug, prompt_rag_sequence, prompt_fid, fallback_answer, coverage_bands, query_expand, append_row_ids, hit_metadata_join, json_encode, json_open_tail, scan_jsonl, doc_defaults, format_hits, result_envelope, coerce_literal, unranked, attack_similarity, doc_by_position,
     )
 }
 
@@ -295,8 +317,11 @@ ORACLES = {
     "json_encode": "SELECT row_id, CASE WHEN extra IS NULL OR cardinality(extra) = 0 THEN k ELSE substring(k, 1, len(k) - 1) || ',' || substring(e, 2) END AS line FROM (SELECT row_id, extra, to_json({'chunk_id': chunk_id, 'doc_id': doc_id, 'text': text, 'token_start': token_start, 'token_end': token_end, 'source_file': source_file})::VARCHAR AS k, to_json(extra)::VARCHAR AS e FROM chunks)",
     "json_open_tail": "SELECT row_id, unnest(map_keys(extra)) AS key, unnest(map_values(extra)) AS value FROM chunks WHERE extra IS NOT NULL",
     "scan_jsonl": "SELECT doc_id, coalesce(len(text), -1) AS chars, md5(text) AS digest, lang FROM documents",
-    "doc_defaults": "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN category END, title, source, 'doc_' || (('0x' || substring(md5(substring(coalesce(text, ''), 1, 50)), 1, 8))::BIGINT % 1000000)) AS id, len(coalesce(text, '')) AS chars FROM documents",
+    "doc_defaults": "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN category END, title, source, 'doc_' || (('0x' || substring(md5(substring(coalesce(text, record), 1, 50)), 1, 8))::BIGINT % 1000000)) AS id, len(coalesce(text, record)) AS chars FROM (SELECT *, to_json({'doc_id': doc_id, 'id': CASE WHEN doc_id % 2 = 0 THEN category END, 'title': title, 'name': source, 'text': text})::VARCHAR AS record FROM documents)",
     "format_hits": f"{_PASSAGES} SELECT query_id, rank, printf('[%d] score=%.4f | doc=%s', rank + 1, round(score, 4), doc_id::VARCHAR) || chr(10) || '    ' || substring(text, 1, 300) || '...' AS line FROM ranked",
     "result_envelope": f"{_PASSAGES}, r AS (SELECT query_id, count(*) AS total, list(doc_id ORDER BY rank) AS ids FROM ranked WHERE score > 0.03 GROUP BY query_id) SELECT d.doc_id AS query_id, to_json({{'status': CASE WHEN coalesce(total, 0) > 0 THEN 'ok' ELSE 'empty' END, 'total': coalesce(total, 0), 'results': coalesce(ids[1:3], []::BIGINT[])}})::VARCHAR AS result FROM documents d LEFT JOIN r ON r.query_id = d.doc_id WHERE d.doc_id % 20 = 0",
-    "coerce_literal": "SELECT item_id, CASE WHEN lower(date) IN ('true', 'false') THEN 'bool' WHEN regexp_matches(date, '^\\s*[+-]?\\d+(_\\d+)*\\s*$') THEN 'int' WHEN regexp_matches(date, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$|^\\s*[+-]?(?i:inf|infinity|nan)\\s*$') THEN 'float' ELSE 'str' END AS kind FROM news_items WHERE date IS NOT NULL",
+    "unranked": f"WITH {_ASKED}, {_DOC_VECTORS}, {_QUERY_VECTORS}, {_SCORED}, {_RETRIEVED} SELECT query_id, rr AS rank, doc_id FROM hits WHERE rr < {KEPT}",
+    "attack_similarity": f"WITH asked AS (SELECT doc_id AS query_id, title AS query FROM documents WHERE len(title) > 0), {_QUERY_VECTORS}, known AS (SELECT unnest(range(0, {len(quality.ATTACKS)})) AS query_id, unnest({list(quality.ATTACKS)}) AS query), {_QUERY_VECTORS.replace('qv AS', 'pv AS').replace('qn AS', 'pn AS').replace('FROM qv', 'FROM pv').replace('asked', 'known')}, s AS (SELECT query_id AS doc_id, p.query_id AS pattern, round(coalesce((SELECT sum(qv.x * pv.x) FROM qv JOIN pv USING (pos) WHERE qv.id = a.query_id AND pv.id = p.query_id) / (nullif(qn.n, 0) * pn.n), 0), 6) AS similarity FROM asked a CROSS JOIN known p LEFT JOIN qn ON qn.id = a.query_id LEFT JOIN pn ON pn.id = p.query_id) SELECT doc_id, pattern, similarity FROM s WHERE similarity >= {quality.ATTACK_LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pattern) = 1".replace("SELECT query_id AS doc_id, p.", "SELECT a.query_id AS doc_id, p."),
+    "doc_by_position": "SELECT doc_id, 'doc_' || (coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS id FROM (SELECT doc_id, ceil(len(text) / 462.0)::BIGINT AS n FROM documents WHERE len(text) > 0)",
+    "coerce_literal": "SELECT item_id, kind, CASE WHEN kind = 'bool' THEN lower(date) = 'true' END AS flag, CASE WHEN kind = 'int' THEN try_cast(replace(trim(date), '_', '') AS BIGINT) END AS whole, CASE WHEN kind = 'float' THEN try_cast(replace(trim(date), '_', '') AS DOUBLE) END AS real, CASE WHEN kind = 'str' THEN date END AS text FROM (SELECT item_id, date, CASE WHEN lower(date) IN ('true', 'false') THEN 'bool' WHEN regexp_matches(date, '^\\s*[+-]?\\d+(_\\d+)*\\s*$') THEN 'int' WHEN regexp_matches(date, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$|^\\s*[+-]?(?i:inf|infinity|nan)\\s*$') THEN 'float' ELSE 'str' END AS kind FROM news_items WHERE date IS NOT NULL)",
 }

@@ -10,6 +10,9 @@ from veldra.runtime import broadcast_checked, read_table
 
 NOW = 1_748_736_000  # 2025-06-01 00:00:00 UTC, the clock of the queries
 RADIUS = 5000.0
+#: Limits of the queries: days by priority, seconds by kind of event.
+DAYS = {"1-URGENT": 60.0, "2-HIGH": 75.0, "3-MEDIUM": 90.0}
+HOURS = {"error": 3 * 86_400, "click": 7200}
 
 
 def _news(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +112,12 @@ def json_unwrap(spark, d):
 def parse_result_blocks(spark, d):
     """Report lines folded into blocks: a header begins one, the text lines behind it are joined, log lines are skipped."""
     kind = F.col("event_type")
-    line = F.when(kind == "error", F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("] score="), F.format_string("%.2f", F.abs("value")), F.lit(" | doc=user-"), F.col("user_id").cast("string"))).when(kind == "click", F.concat(F.lit("=== "), kind)).otherwise(F.concat(F.lit("    "), kind, F.lit(" "), "props"))
+    line = F.when(kind == "error", F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("] score="), F.format_string("%.2f", F.abs("value")), F.lit(" | doc=user-"), F.col("user_id").cast("string"))).when(kind == "click", F.concat(F.lit("=== "), kind)).when(F.col("event_id") % 11 == 0, F.concat(F.lit("2026-01-01 "), kind)).otherwise(F.concat(F.lit("    "), kind, F.lit(" "), "props"))
     lines = _events(spark, d).select("user_id", "event_id", F.trim(line).alias("line"))
     # fixed value: the header line of a report
     header = r"^\[\d+\]\s+score=([\d.]+)\s*\|\s*doc=(.+)$"
     marked = ordered.running_sum(lines.withColumn("head", F.col("line").rlike(header)), "user_id", "event_id", F.col("head").cast("bigint"), "block").filter("block > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & ~F.col("line").startswith("==="), F.struct("event_id", "line")))), lambda x: x["line"]), " ")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & ~F.col("line").rlike(feeds.LOG_LINE), F.struct("event_id", "line")))), lambda x: x["line"]), " ")
     heads = F.max(F.when(F.col("head"), F.col("line")))
     out = marked.groupBy("user_id", "block").agg(heads.alias("h"), text.alias("text"))
     return out.select("user_id", "block", F.regexp_extract("h", header, 1).cast("double").alias("score"), F.trim(F.regexp_extract("h", header, 2)).alias("doc_id"), "text")
@@ -175,9 +178,28 @@ def last_turns(spark, d):
 
 
 def latency_percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = _events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), p.alias("p"))
-    return rows.select("event_type", "n", *[F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p50", "p95", "p99"))])
+    rows = quality.percentiles(_events(spark, d), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return rows.select("event_type", "n", *[F.round(name, 6).alias(name) for name in ("p50", "p95", "p99")])
+
+
+def threshold_exceedance(spark, d):
+    """Lines shipped later after their order than the days that the order's priority allows."""
+    days = F.datediff("l_shipdate", "o_orderdate").cast("double")
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(read_table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    late = quality.over_limit(rows, "o_orderpriority", days, DAYS, 110)
+    return late.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "limit", "excess")
+
+
+def ttl_by_kind(spark, d):
+    """Newest live event of each user and kind at a clock, where kinds live unequally long."""
+    clock = 1_705_320_000  # 2024-01-15 12:00:00 UTC
+    live = quality.live_by_kind(_events(spark, d), "event_type", F.col("second"), clock, HOURS, 86_400)
+    return live.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("second", "event_id")).alias("event_id"))
+
+
+def alert_html(spark, d):
+    hours = _hours(spark, d).filter("rain_likely and city is not null")
+    return hours.select("forecast_id", F.md5(F.regexp_replace(forecast.html_body(), "Probability</th><td>[^<]*", "")).alias("digest"))
 
 
 def eval_summary(spark, d):
@@ -240,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rfc2822, feed_dedupe, feed_dedupe_then_filter, recency_filter, latest_events, ci_dedupe, fallback_source, regex_filter, geo_radius, geo_candidates, tag_projection, html_snippet, html_title, html_links, json_extract, json_unwrap,
-        parse_result_blocks, current_hour, alert_predicate, alert_outbox, banding, ttl_cache, secs_to_next_hour, tumbling_hourly, sessions, rate_limit, last_turns, latency_percentiles, eval_summary, eval_trend, canary, pii_redact,
+        parse_result_blocks, current_hour, alert_predicate, alert_outbox, banding, ttl_cache, secs_to_next_hour, tumbling_hourly, sessions, rate_limit, last_turns, latency_percentiles, threshold_exceedance, ttl_by_kind, alert_html, eval_summary, eval_trend, canary, pii_redact,
         recurrence, first_deviation, evidence_agreement, segment_bounds, feed_volume,
     )
 }
@@ -262,7 +284,7 @@ _AT = "coalesce(nullif(list_position(list_transform(hourly.time, lambda t: coale
 _HOURS = f"(SELECT forecast_id, city, admin1, hourly.time[i] AS time, hourly.temperature_2m[i] AS temperature, coalesce(hourly.precipitation_probability[i], 0.0) AS probability, coalesce(hourly.precipitation[i], 0.0) AS amount FROM (SELECT *, {_AT} AS i FROM forecasts WHERE len(hourly.time) > 0))"
 _RAIN = "(probability >= 50 OR amount > 0)"
 _HEADER = r"'^\[\d+\]\s+score=([\d.]+)\s*\|\s*doc=(.+)$'"
-_LINES = f"(SELECT user_id, event_id, trim(CASE WHEN event_type = 'error' THEN '[' || event_id || '] score=' || printf('%.2f', abs(value)) || ' | doc=user-' || user_id WHEN event_type = 'click' THEN '=== ' || event_type ELSE '    ' || event_type || ' ' || props END) AS line FROM events)"
+_LINES = f"(SELECT user_id, event_id, trim(CASE WHEN event_type = 'error' THEN '[' || event_id || '] score=' || printf('%.2f', abs(value)) || ' | doc=user-' || user_id WHEN event_type = 'click' THEN '=== ' || event_type WHEN event_id % 11 = 0 THEN '2026-01-01 ' || event_type ELSE '    ' || event_type || ' ' || props END) AS line FROM events)"
 _METRES = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2))))"
 
 
@@ -294,7 +316,7 @@ ORACLES = {
     "html_links": "SELECT item_id, unnest(range(0, len(l))) AS pos, unnest(l) AS link FROM (SELECT item_id, regexp_extract_all(snippet, 'href=\"([^\"]*)\"', 1) AS l FROM news_items)",
     "json_extract": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "json_unwrap": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
-    "parse_result_blocks": f"WITH l AS (SELECT *, regexp_matches(line, {_HEADER}) AS head FROM {_LINES}), b AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS block FROM l) SELECT user_id, block, regexp_extract(max(line) FILTER (WHERE head), {_HEADER}, 1)::DOUBLE AS score, trim(regexp_extract(max(line) FILTER (WHERE head), {_HEADER}, 2)) AS doc_id, coalesce(string_agg(line, ' ' ORDER BY event_id) FILTER (WHERE NOT head AND NOT starts_with(line, '===')), '') AS text FROM b WHERE block > 0 GROUP BY user_id, block",
+    "parse_result_blocks": f"WITH l AS (SELECT *, regexp_matches(line, {_HEADER}) AS head FROM {_LINES}), b AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS block FROM l) SELECT user_id, block, regexp_extract(max(line) FILTER (WHERE head), {_HEADER}, 1)::DOUBLE AS score, trim(regexp_extract(max(line) FILTER (WHERE head), {_HEADER}, 2)) AS doc_id, coalesce(string_agg(line, ' ' ORDER BY event_id) FILTER (WHERE NOT head AND NOT starts_with(line, '===') AND NOT starts_with(line, '2026-')), '') AS text FROM b WHERE block > 0 GROUP BY user_id, block",
     "current_hour": f"SELECT forecast_id, time, temperature, probability, amount FROM {_HOURS}",
     "alert_predicate": f"SELECT forecast_id, {_RAIN} AS rain_likely FROM {_HOURS}",
     "alert_outbox": f"SELECT forecast_id, regexp_replace(lower(city), '[^a-z]', '', 'g') || '@example.com' AS recipient, 'Weather alert for ' || city AS subject, 'Temperature: ' || CASE WHEN temperature IS NULL OR temperature = 0 THEN 'N/A' ELSE printf('%.1f', round(temperature, 1)) END || chr(10) || printf('Probability: %.0f%%', round(probability, 0)) || chr(10) || printf('Amount: %.2f in', round(amount, 2)) || chr(10) || 'Rain likely: Yes' AS body FROM {_HOURS} WHERE {_RAIN} AND admin1 IS NOT NULL AND city IS NOT NULL",
@@ -306,6 +328,11 @@ ORACLES = {
     "rate_limit": f"SELECT event_id, user_id, calls FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) AS calls FROM {_EV}) WHERE calls > 2",
     "last_turns": f"SELECT user_id, back, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY second DESC, event_id DESC) AS back FROM {_EV}) WHERE back <= 10",
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
+    "threshold_exceedance": "SELECT l_orderkey, l_linenumber::BIGINT AS line, m AS \"limit\", days - m AS excess FROM (SELECT l_orderkey, l_linenumber, (l_shipdate::DATE - o_orderdate::DATE)::DOUBLE AS days, CASE o_orderpriority "
+    + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in DAYS.items())
+    + " ELSE 110.0::DOUBLE END AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE days > m",
+    "ttl_by_kind": "SELECT user_id, event_type, arg_max(event_id, (second, event_id)) AS event_id FROM " + _EV + " WHERE second <= 1705320000 AND second + CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in HOURS.items()) + " ELSE 86400 END > 1705320000 GROUP BY user_id, event_type",
+    "alert_html": f"SELECT forecast_id, md5('<html><body><h2>Weather Alert for ' || replace(replace(replace(city, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h2><table><tr><th>Temperature</th><td>' || CASE WHEN temperature IS NULL OR temperature = 0 THEN 'N/A' ELSE temperature::VARCHAR END || ' °F</td></tr><tr><th>Rain </td></tr><tr><th>Rain Amount</th><td>' || printf('%.2f in', round(amount, 2)) || '</td></tr><tr><th>Rain Likely</th><td>Yes</td></tr></table></body></html>') AS digest FROM {_HOURS} WHERE {_RAIN} AND city IS NOT NULL",
     "eval_summary": "SELECT event_type, count_if(value >= 10)::BIGINT AS passed, count_if(value < 10)::BIGINT AS failed, count(*) AS total, round(avg(CASE WHEN value >= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM events GROUP BY event_type",
     "eval_trend": f"WITH x AS (SELECT second // 86400 AS day, avg(CASE WHEN value >= 10 THEN 1.0::DOUBLE ELSE 0 END) AS a FROM {_EV} GROUP BY 1) SELECT x.day, round(x.a, 6) AS accuracy, round(x.a - coalesce(y.a, x.a), 6) AS delta FROM x LEFT JOIN x y ON y.day + 1 = x.day",
     "canary": "SELECT DISTINCT user_id, ('0x' || substring(md5(user_id::VARCHAR), 1, 8))::BIGINT % 100 < 5 AS canary FROM events",

@@ -13,9 +13,11 @@ log = logging.getLogger("veldra")
 DEFAULTS: dict[str, Any] = {
     "chunking": {"strategy": "recursive", "chunk_size": 512, "chunk_overlap": 50},
     "embedding": {"model": "hashing", "dim": 64},
-    "index": {"kind": "exact", "lists": 0, "probes": 0, "rounds": 20, "ef": 100},
+    "index": {"kind": "exact", "lists": 0, "probes": 0, "share": 0.95, "rounds": 20, "links": 12, "candidates": 16, "ef": 100},
     "retrieval": {"top_k": 50, "final_k": 10},
+    "reranking": {"model": "overlap", "enabled": True},
     "generation": {"strategy": "replug", "budget": 15_000},
+    "llm": {"base_url": "", "model": "", "api_key": "", "max_tokens": 1024, "temperature": 0.0},
 }
 
 
@@ -47,12 +49,12 @@ def dotenv(path: str) -> dict[str, str]:
 
 
 class Config:
-    """Nested settings: defaults, then a JSON file, then ``PREFIX_SECTION_KEY`` of the environment."""
+    """Nested settings: defaults, then a JSON or YAML file, then ``PREFIX_SECTION_KEY`` of the environment."""
 
     def __init__(self, path: str | None = None, prefix: str = "VELDRA", environ: dict[str, str] | None = None):
         self.values = json.loads(json.dumps(DEFAULTS))
         if path and Path(path).is_file():
-            self._merge(self.values, json.loads(Path(path).read_text(encoding="utf-8")))
+            self._merge(self.values, read_settings(path))
         for name, value in (os.environ if environ is None else environ).items():
             for section, keys in DEFAULTS.items():
                 for key in keys:
@@ -75,6 +77,28 @@ class Config:
         return at
 
 
-def merge_args(defaults: dict[str, Any], given: dict[str, Any]) -> dict[str, Any]:
-    """Given values over defaults; None and False count as not given."""
-    return defaults | {k: v for k, v in given.items() if v is not None and v is not False}
+def read_settings(path: str) -> dict[str, Any]:
+    """Settings of a JSON file, or of a YAML file if that library is there."""
+    text = Path(path).read_text(encoding="utf-8")
+    if not path.lower().endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML settings need the library yaml") from e
+    return yaml.safe_load(text) or {}
+
+
+def load_given(path: str) -> dict[str, Any]:
+    """Stored arguments of a tool; none if the file is missing."""
+    return json.loads(Path(path).read_text(encoding="utf-8")) if Path(path).is_file() else {}
+
+
+def save_given(path: str, given: dict[str, Any]) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(given, indent=2, sort_keys=True), encoding="utf-8")
+
+
+def over_stored(stored: dict[str, Any], given: dict[str, Any]) -> dict[str, Any]:
+    """Given values over stored ones; None and False count as not given."""
+    return stored | {k: v for k, v in given.items() if v is not None and v is not False}

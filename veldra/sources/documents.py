@@ -1,4 +1,7 @@
-"""Document sources: JSON lines, JSON files, whole text files; defaults of missing fields."""
+"""Document sources: JSON lines, JSON files, whole text files; defaults of missing fields.
+
+A record without a text has itself, as JSON, for one. JSON sources keep the whole record in ``record`` for that.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +13,30 @@ from pyspark.sql import functions as F
 SCHEMA = "id string, title string, name string, text string, metadata map<string,string>"
 
 
-def scan_json_lines(spark: SparkSession, path: str | list[str], schema: str = SCHEMA) -> DataFrame:
-    """One row per line that isn't blank."""
-    return spark.read.schema(schema).json(path)
+#: Where the readers keep the whole record.
+RECORD = "record"
+
+
+def scan_json_lines(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+    """One row per line that isn't blank; without a schema the known fields and the whole ``record``."""
+    if schema:
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return _known(lines.select(F.col("value").alias(RECORD)))
 
 
-def scan_json(spark: SparkSession, path: str | list[str], schema: str = SCHEMA) -> DataFrame:
+def scan_json(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
     """A list gives a row per element, an object one row."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    if schema:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    # elements stay as they are written: the parsed values are only looked at, never written again
+    parts = F.when(F.col("value").startswith("["), F.transform(F.from_json("value", "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array("value"))
+    return _known(whole.select(F.explode(parts).alias(RECORD)))
+
+
+def _known(df: DataFrame) -> DataFrame:
+    return df.select(F.from_json(RECORD, SCHEMA).alias("_r"), RECORD).select("_r.*", RECORD)
 
 
 def scan_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -56,9 +75,10 @@ def default_id(text: Column) -> Column:
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """id from title, name or the text; an empty text and empty metadata where missing."""
-    text = F.coalesce("text", F.lit(""))
+    """id from title, name or the text; where the text is missing, the record as JSON (all columns if there is no ``record``); empty metadata."""
+    whole = F.col(RECORD) if RECORD in df.columns else F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    text = F.coalesce("text", whole, F.lit(""))
     named = [F.col(c) for c in ("id", "title", "name") if c in df.columns]
-    out = df.withColumn("id", F.coalesce(*named, default_id(text))).withColumn("text", text)
+    out = df.withColumns({"id": F.coalesce(*named, default_id(text)), "text": text})  # both from the record as it came
     empty = F.create_map().cast("map<string,string>")
     return out.withColumn("metadata", F.coalesce("metadata", empty) if "metadata" in df.columns else empty)
