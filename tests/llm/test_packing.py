@@ -55,6 +55,37 @@ def test_reduction_loses_nothing(items):
     assert sum(t for _, t in fixed) + (least(rest, 12) if rest else 0) == least(items, 12)
 
 
+def test_pairs():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = sorted(rng.sample(range(1, 60), rng.randint(1, 20)))
+        room = rng.randint(1, 130)
+        assert packing.largest_pair(np.array(sizes), room) == max((a + b for a in sizes for b in sizes if a + b <= room), default=0)
+    assert packing.largest_pair(np.zeros(0, np.int64), 5) == 0
+
+
+def test_many_sizes():
+    """The rule for two more items holds for instances of over 512 sizes as for small ones."""
+    rng = random.Random(6)
+    histogram = {s: rng.randint(1, 3) for s in rng.sample(range(600, 2049), 900)}
+    counts = np.zeros(2049, np.int64)
+    for s, n in histogram.items():
+        counts[s] = n
+    fixed = packing.reduce_instance(counts, 2048)
+    assert sum(len(items) == 2 for items, _ in fixed) > 100
+    check(histogram, packing.plan_containers(histogram, 2048)[0], 2048)
+
+
+@pytest.mark.parametrize("rows", [7, 100_000])
+def test_salts(spark, monkeypatch, rows):
+    """A size of most rows is spread over salts; each container stays within the capacity."""
+    monkeypatch.setattr(packing, "SALT_ROWS", rows)
+    df = spark.createDataFrame([(i, 40 if i % 3 else 100) for i in range(600)], "doc_id bigint, n_tokens bigint")
+    got = packing.pack_sizes(df, capacity=100).toPandas()
+    load = (got.token_end - got.token_start).groupby(got.container_id).sum()
+    assert len(got) == 600 and load.max() <= 100 and len(load) == 400
+
+
 def test_operator(spark):
     rng = random.Random(3)
     sizes = [int(rng.lognormvariate(3, 1)) for _ in range(3000)] + [40] * 1500 + [0, 250, 100]

@@ -4,7 +4,8 @@ Sizes are whole numbers up to the capacity, so the whole instance is a histogram
 texts there are. The plan is made on that histogram: the Martello-Toth reduction fixes containers that provably dominate every
 alternative, best fit in falling size places the rest, and equal containers are handled as one pattern with a multiplicity.
 The plan then gives each text its container by its size and its rank among the texts of that size. Ranks are counted within
-(size, salt), so a size that a third of all rows share is spread over ``SALTS`` groups. Texts are never shuffled.
+(size, salt), with a salt for each ``SALT_ROWS`` texts of a size, so a size that a third of all rows share is spread over as many
+groups as that takes. Texts are never shuffled.
 
 Defined results: a text over the capacity is cut into pieces of the capacity and a rest; every other text is one piece; null and
 empty texts are one piece without tokens in one of the containers (container 0 if there is none); ids may repeat.
@@ -23,11 +24,18 @@ from veldra.llm.bpe import TOKENIZER, token_counts
 from veldra.runtime import materialize
 
 CAPACITY = 2048
-SALTS = 64
+SALT_ROWS = 100_000
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
+def largest_pair(sizes: np.ndarray, room: int) -> int:
+    """Largest sum of two of the sorted ``sizes`` (one may be taken twice) within ``room``; 0 if there is none."""
+    at = np.searchsorted(sizes, room - sizes, "right") - 1
+    ok = at >= 0
+    return int((sizes[ok] + sizes[at[ok]]).max(initial=0))
+
+
 def reduce_instance(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Fix containers by dominance and take their items out of ``counts``."""
     fixed: list[Pattern] = []
@@ -61,11 +69,9 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[Pattern]:
                 continue
             if len(least) < 3 or sum(least) > room:
                 # two more at most: one item as large as any pair dominates
-                sums = others[:, None] + others[None, :] if len(others) <= 512 else None
-                if sums is None or best >= int(sums[sums <= room].max(initial=0)):
-                    if sums is not None:
-                        fix(times, s, best)
-                        continue
+                if best >= largest_pair(others, room):
+                    fix(times, s, best)
+                    continue
             break
     return fixed
 
@@ -137,9 +143,11 @@ def pack_sizes(sizes: DataFrame, id_col: str = "doc_id", capacity: int = CAPACIT
     items = sizes.select("id", "n", pieces.alias("piece_no")).select(
         "id", "piece_no", (F.col("piece_no") * capacity).cast("int").alias("token_start"), F.least("n", (F.col("piece_no") + 1) * capacity).cast("int").alias("token_end")
     )
-    items = items.withColumn("size", F.col("token_end") - F.col("token_start")).withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(SALTS)).cast("int"))
+    items = items.withColumn("size", F.col("token_end") - F.col("token_start"))
+    histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # capacity + 1 rows at most
+    salts = pa.table({"size": pa.array(list(histogram), pa.int32()), "salts": pa.array([-(-n // SALT_ROWS) for n in histogram.values()], pa.int64())})
+    items = items.join(F.broadcast(sizes.sparkSession.createDataFrame(salts)), "size").withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.col("salts"))).drop("salts")
     cells = items.groupBy("size", "salt").count()
-    histogram = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # capacity + 1 rows at most
     patterns, _ = plan_containers(histogram, capacity)
     keys, base, total = intervals(patterns)
     before = F.sum("count").over(Window.partitionBy("size").orderBy("salt")) - F.col("count")
