@@ -41,6 +41,23 @@ def test_small_slices(library, monkeypatch):
         assert own.encode(pa.array(HARD)).to_pylist() == library(HARD)
 
 
+@pytest.mark.parametrize("shared,longest,at_once", [(500_000, 48, 200_000), (3, 48, 2), (0, 48, 1), (500_000, 2, 5)])
+def test_corpus_words(spark, library, monkeypatch, shared, longest, at_once):
+    """Words known to all workers, or only some of them, or none: the same ids."""
+    for name, value in (("SHARED_WORDS", shared), ("WORD_BYTES", longest), ("REPLAYED", at_once)):
+        monkeypatch.setattr(bpe, name, value)
+    df = spark.createDataFrame(list(enumerate(HARD + HARD[:5])), "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_texts(spark, df).collect()}
+    assert [got[i] for i in range(len(got))] == library(HARD + HARD[:5])
+
+
+def test_words_of_corpus(spark, library):
+    df = spark.createDataFrame([("a b a",), ("b  a",), (None,), ("",)], "text string").repartition(2)
+    rows = bpe.corpus_words(df, "text", spark.sparkContext.broadcast(bpe.load_merges())).collect()
+    assert {bytes(r["word"]).decode(): r["n"] for r in rows} == {"a": 1, " b": 1, " a": 2, "b": 1, " ": 1}
+    assert all(list(r["ids"]) == library([bytes(r["word"]).decode()])[0] for r in rows)
+
+
 def test_operator(spark, library):
     rows = [(1, "hello world", 5), (1, "hello world", 5), (2, None, 1), (3, "", 1), (4, "  ", 1), (None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")

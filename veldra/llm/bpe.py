@@ -1,9 +1,10 @@
 """Byte-level BPE encoding of a corpus by merge replay (problem 6).
 
-Each Arrow batch is cut into words by masks over code point classes; the distinct words of the batch that the worker hasn't
-met yet are encoded together: an inverted index from token pair to word positions applies every merge in rank order and
-touches only the neighbours of merged positions. The ids of a text are then gathered by word number. No row leaves its
-partition, so there is no shuffle at any size.
+1. Texts are cut into words by masks over code point classes. The distinct words of the corpus are counted, dealt to partitions, and
+   replayed there together: an inverted index from token pair to word positions applies every merge in rank order and touches only
+   the neighbours of merged positions. Texts aren't shuffled, only distinct words with their counts.
+2. The ids of the ``SHARED_WORDS`` most frequent words are sent to the workers; the ids of a text are gathered by word number. Words
+   beyond that number, or over ``WORD_BYTES``, are replayed in the same way where a batch has them.
 
 Defined results: null and empty texts give an empty list; blank texts are encoded as they are; strings of special tokens are
 ordinary text; columns besides the two named ones are ignored.
@@ -13,11 +14,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veldra.functions.buffers import code_points, raw_bytes, slices, string_column
 
@@ -26,6 +29,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SLICE_BYTES = 4 << 20
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 1_000_000
+#: Words of the corpus whose ids are sent to all workers, and the longest of them: some 30 MB at most.
+SHARED_WORDS, WORD_BYTES = 500_000, 48
+#: Distinct words that a partition replays at once.
+REPLAYED = 200_000
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: Fixed values of the pattern that splits text before the merges.
 SHORT_TAILS, LONG_TAILS = "stmd", ("re", "ve", "ll")
@@ -179,13 +186,19 @@ def replay(words: list[bytes], m: dict[str, np.ndarray]) -> tuple[np.ndarray, np
 class Encoder:
     """Encodes Arrow string columns; remembers the words it has met."""
 
-    def __init__(self, merges: dict[str, np.ndarray]):
-        self.merges = merges
+    def __init__(self, merges: dict[str, np.ndarray], shared: pa.Table | None = None):
+        """``shared``: words (word, ids) whose ids are known from the start."""
+        self.merges, self.shared = merges, shared
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.values, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if self.shared is not None and self.shared.num_rows:
+            words, ids = (self.shared[c].combine_chunks() for c in ("word", "ids"))
+            self.number = {w: i for i, w in enumerate(words.to_pylist())}
+            self.values = ids.flatten().to_numpy().astype(np.int32)
+            self.offsets = np.append(0, np.cumsum(ids.value_lengths().to_numpy())).astype(np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         values, offsets = replay(words, self.merges)
@@ -207,7 +220,7 @@ class Encoder:
     def encode(self, column) -> pa.LargeListArray:
         """List of ids of each row."""
         column = string_column(column)
-        if len(self.number) > CACHE_WORDS:
+        if len(self.number) > CACHE_WORDS + (self.shared.num_rows if self.shared is not None else 0):
             self.forget()
         _, at = raw_bytes(column)
         parts = [self.words(column.slice(a, b - a)) for a, b in slices(np.diff(at), SLICE_BYTES)]
@@ -224,17 +237,70 @@ class Encoder:
         return pa.concat_arrays(out) if out else pa.array([], pa.large_list(pa.int32()))
 
 
-def encoder(merges: dict[str, np.ndarray]) -> Encoder:
-    """The encoder of this worker; kept between tasks."""
-    key = (len(merges["keys"]), int(merges["keys"][:1000].sum()))
-    if key not in _state:
-        _state[key] = Encoder(merges)
-    return _state[key]
+def corpus_words(df: DataFrame, text_col: str, merges) -> DataFrame:
+    """Distinct words of a text column with their number and ids: ``(word BINARY, n, ids ARRAY<INT>)``; those over ``WORD_BYTES`` are left out."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Encoder(merges.value)
+        seen: dict[bytes, int] = {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            column = string_column(batch.column(0))
+            for a, b in slices(np.diff(raw_bytes(column)[1]), SLICE_BYTES):
+                codes, words, _ = own.words(column.slice(a, b - a))
+                for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
+                    if len(w) <= WORD_BYTES:
+                        seen[w] = seen.get(w, 0) + n
+            if len(seen) > CACHE_WORDS:
+                yield counted()
+                seen.clear()
+        yield counted()
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, REPLAYED):
+            values, offsets = replay(table["word"].to_pylist(), merges.value)
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([table["word"].combine_chunks(), table["n"].combine_chunks(), ids], ["word", "n", "ids"])
+
+    return df.select(text_col).mapInArrow(cut, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(replayed, "word binary, n bigint, ids array<int>")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of ``rows`` or more, and a rest."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def learned(spark: SparkSession, df: DataFrame, text_col: str, tokenizer: str):
+    """What workers need to encode the texts of ``df``: the merges and the ids of the most frequent words, broadcast."""
+    merges = spark.sparkContext.broadcast(load_merges(tokenizer))
+    top = corpus_words(df, text_col, merges).orderBy(F.desc("n"), "word").limit(SHARED_WORDS).select("word", "ids").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema) as out:
+        out.write_table(top)
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, merges.value, sink.getvalue().to_pybytes()))
+
+
+def encoder(shared: tuple[str, dict[str, np.ndarray], bytes]) -> Encoder:
+    """The encoder of this worker for one broadcast; kept between tasks."""
+    name, merges, words = shared
+    if _state.get("name") != name:
+        _state["name"], _state["encoder"] = name, Encoder(merges, pa.ipc.open_stream(words).read_all())
+    return _state["encoder"]
 
 
 def encode_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``(id_col, ids ARRAY<INT>)``: the ids of every text."""
-    shared = spark.sparkContext.broadcast(load_merges(tokenizer))
+    shared = learned(spark, df, text_col, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
@@ -248,7 +314,7 @@ def encode_texts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
 
 def token_counts(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``(id_col, n_tokens BIGINT)``; 0 for null and empty texts."""
-    shared = spark.sparkContext.broadcast(load_merges(tokenizer))
+    shared = learned(spark, df, text_col, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
