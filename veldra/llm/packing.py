@@ -37,7 +37,7 @@ def largest_pair(sizes: np.ndarray, room: int) -> int:
 
 
 def reduce_instance(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Fix containers by dominance and take their items out of ``counts``."""
+    """Fix containers by dominance, until no rule holds any more, and take their items out of ``counts``."""
     fixed: list[Pattern] = []
 
     def fix(times: int, *sizes: int) -> None:
@@ -48,31 +48,34 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> list[Pattern]:
             counts[s] -= k * times
         fixed.append((tuple(sorted(items.items(), reverse=True)), times))
 
-    for s in range(capacity, 0, -1):
-        while counts[s] > 0:
-            room = capacity - s
-            counts[s] -= 1  # the others
-            others = np.flatnonzero(counts[: room + 1])
-            least: list[int] = []
-            for x in np.flatnonzero(counts)[:3].tolist():
-                least += [x] * int(min(counts[x], 3 - len(least)))
-            counts[s] += 1
-            if not len(others):
-                # alone: nothing else fits
-                fix(int(counts[s]) if s > room else 1, s)
-                continue
-            best = int(others[-1])
-            times = int(counts[s] // 2) if best == s else int(min(counts[s], counts[best]))
-            if best == room or len(least) < 2 or least[0] + least[1] > room:
-                # the rest filled exactly, or one more item at most: the largest that fits dominates
-                fix(times, s, best)
-                continue
-            if len(least) < 3 or sum(least) > room:
-                # two more at most: one item as large as any pair dominates
-                if best >= largest_pair(others, room):
+    done = -1
+    while done < len(fixed):  # what is fixed takes items away, by which more may be dominated
+        done = len(fixed)
+        for s in range(capacity, 0, -1):
+            while counts[s] > 0:
+                room = capacity - s
+                counts[s] -= 1  # the others
+                others = np.flatnonzero(counts[: room + 1])
+                least: list[int] = []
+                for x in np.flatnonzero(counts)[:3].tolist():
+                    least += [x] * int(min(counts[x], 3 - len(least)))
+                counts[s] += 1
+                if not len(others):
+                    # alone: nothing else fits
+                    fix(int(counts[s]) if s > room else 1, s)
+                    continue
+                best = int(others[-1])
+                times = int(counts[s] // 2) if best == s else int(min(counts[s], counts[best]))
+                if best == room or len(least) < 2 or least[0] + least[1] > room:
+                    # the rest filled exactly, or one more item at most: the largest that fits dominates
                     fix(times, s, best)
                     continue
-            break
+                if len(least) < 3 or sum(least) > room:
+                    # two more at most: one item as large as any pair dominates
+                    if best >= largest_pair(others, room):
+                        fix(times, s, best)
+                        continue
+                break
     return fixed
 
 
