@@ -74,3 +74,15 @@ def test_operator(spark):
     got = sorted(map(tuple, normalize(df, "forecast", "k", "v", "z", "us").collect()))
     assert got == [("forecast", 1, 0, 1704531600000000)] * 2
     assert normalize(df.limit(0), "forecast", "k", "v", "z", "us").count() == 0
+
+
+@pytest.mark.parametrize("digits", [6, 200, 300, 5000])
+def test_long_values(digits, monkeypatch):
+    """Values of any length are read, one or many at once; digits beyond microseconds are cut off."""
+    for at_once in (4_000_000, 50):
+        monkeypatch.setattr("veldra.operators.timestamps.AT_ONCE", at_once)
+        value = "2024-01-06T09:00:00." + "123456" + "9" * (digits - 6) + "Z"
+        assert one(value, None, True) == one("2024-01-06T09:00:00.123456Z", None, True)
+    junk = ["at " * 20_000 + "9", "2024-01-06 " + "at " * 20_000, "x" * 100_000, "1" * 50_000, "2024-01-06 " + "at " * 3000 + "09:00Z"]
+    got = to_utc(pa.array(junk), np.array([None] * 5, object), np.ones(5, bool))
+    assert (got[:4] == np.iinfo(np.int64).min).all() and got[4] == 1704531600000000

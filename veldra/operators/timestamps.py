@@ -5,7 +5,7 @@ Values with one mask hold their fields at the same places, so a mask is parsed o
 word classes) and its values are cut, converted and moved to UTC column by column through the zones' transition tables.
 
 Defined results: null, blank, impossible and relative values and dates without a time of day give no row; a value without zone or
-offset and without a known zone of its record gives none, nor does one over ``LONGEST`` characters; repeated rows are kept; other columns are ignored.
+offset and without a known zone of its record gives none; values of any length are read; repeated rows are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from veldra.functions.buffers import code_points, string_column
 from veldra.functions.zones import transitions, wall_to_utc
 
-LONGEST = 256  # characters once outer and repeated blanks are gone; far more than a notation takes
+AT_ONCE = 4_000_000  # characters of values of one length that are looked at together
+KEPT = 256  # characters of a mask whose layout is remembered
 
 #: Names of months in English, French, German and Spanish, as prefixes without accents, of at least three letters.
 MONTHS = (
@@ -146,7 +147,7 @@ def to_utc(values, zones: np.ndarray, month_first: np.ndarray, group: np.ndarray
     has = j > i
     first, last = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
     first[has], last[has] = solid[i[has]], solid[j[has] - 1] + 1
-    keep = np.flatnonzero(has & (last - first <= LONGEST))
+    keep = np.flatnonzero(has)
     if not len(keep):
         return out
     lengths = last[keep] - first[keep]
@@ -154,14 +155,16 @@ def to_utc(values, zones: np.ndarray, month_first: np.ndarray, group: np.ndarray
     wall_zone = np.full(len(text), None, object)
     fraction = np.zeros(len(text), np.int64)
     for n in np.unique(lengths).tolist():
-        rows = keep[lengths == n]
-        places = first[rows][:, None] + np.arange(n)
-        shapes, which = np.unique(np.ascontiguousarray(kind[places]).view(f"S{n}").ravel(), return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        cuts = np.append(0, np.cumsum(np.bincount(which, minlength=len(shapes))))
-        for k, shape in enumerate(shapes.tolist()):
-            own = rows[order[cuts[k] : cuts[k + 1]]]
-            _convert(shape.decode("latin-1").ljust(n), own, chars[places[order[cuts[k] : cuts[k + 1]]]], zones, month_first, out, wall, wall_zone, fraction)
+        every = keep[lengths == n]
+        for x in range(0, len(every), max(1, AT_ONCE // n)):
+            rows = every[x : x + max(1, AT_ONCE // n)]
+            places = first[rows][:, None] + np.arange(n)
+            shapes, which = np.unique(np.ascontiguousarray(kind[places]).view(f"S{n}").ravel(), return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            cuts = np.append(0, np.cumsum(np.bincount(which, minlength=len(shapes))))
+            for k, shape in enumerate(shapes.tolist()):
+                own = rows[order[cuts[k] : cuts[k + 1]]]
+                _convert(shape.decode("latin-1").ljust(n), own, chars[places[order[cuts[k] : cuts[k + 1]]]], zones, month_first, out, wall, wall_zone, fraction)
     open_ = np.flatnonzero(wall != none)
     if len(open_):
         later = np.zeros(len(open_), bool)
@@ -196,7 +199,7 @@ def _convert(mask: str, rows: np.ndarray, chars: np.ndarray, zones, month_first,
             letter, number = word_kind(names[w])
             full[a:b] = letter * (b - a)
             value[a] = (number, names[w])
-        fields = layout("".join(full))
+        fields = (layout if len(full) <= KEPT else layout.__wrapped__)("".join(full))
         if fields is None:
             continue
         mine = np.flatnonzero(which.ravel() == c)
