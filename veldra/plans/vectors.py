@@ -237,7 +237,7 @@ def index_figures(spark, d) -> list[tuple]:
     exact = materialize(knn.search(asked, rows, K, 128, id_col="id"), "exact")
     out = []
     for kind in ("ivf", "hnsw"):
-        index = _stored(spark, rows, kind, 128)
+        index = _stored(spark, rows, kind, 128, **({"near": K} if kind == "ivf" else {}))
         r = _recall(exact, index.search(asked, K)).first()
         scanned = None
         if kind == "ivf":
