@@ -118,6 +118,10 @@ def test_semantic(spark):
     for r in chunking.chunk(df, "semantic").orderBy("doc_id", "chunk_id").collect():
         got.setdefault(r["doc_id"], []).append(r["chunk"])
     assert got == {i: plain_semantic(t) for i, t in enumerate(texts)}
+    by_steps = {}
+    for r in chunking.chunk(df, "semantic", steps=embed.hash_steps).orderBy("doc_id", "chunk_id").collect():
+        by_steps.setdefault(r["doc_id"], []).append(r["chunk"])
+    assert by_steps == got
 
 
 def test_bad_parameters(spark):

@@ -103,7 +103,9 @@ def test_without_rerank_and_with_model(spark, tmp_path):
     kept = p.rerank(found).select("query_id", "row_id", "rank").collect()
     want = found.filter("retrieved_rank < 2").select("query_id", "row_id", "retrieved_rank").collect()
     assert sorted(map(tuple, kept)) == sorted(map(tuple, want)) and len(kept) == 4
-    out, seconds = p.answer_timed(asked)
+    told = []
+    out, seconds = p.answer_timed(asked, lambda name, s: told.append(name))
+    assert told == ["retrieve", "rerank", "generate"]
     got = {r["query_id"]: r["answer"] for r in out.collect()}
     assert got[1] == "model: which links do graphs walk along" and "Rain" in got[2]
     assert set(seconds) == {"retrieve", "rerank", "generate", "total"}

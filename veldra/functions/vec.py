@@ -33,3 +33,11 @@ def cosine(a: Column, b: Column) -> Column:
 def usable(a: Column, dim: int) -> Column:
     """Right length, every part a finite number, not all zero."""
     return a.isNotNull() & (F.size(a) == dim) & ~F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(a, lambda x: x != 0)
+
+
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the vectors of ARRAY<ARRAY<FLOAT>> whose entry in ``mask`` (ARRAY of numbers) isn't 0, weighted by it; zero where none counts."""
+    weight = F.aggregate(mask, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(F.arrays_zip(tokens.alias("v"), mask.alias("m")), zero, lambda s, z: F.zip_with(s, z["v"], lambda a, x: a + x.cast("double") * z["m"].cast("double")))
+    return F.transform(total, lambda x: x / F.greatest(weight, F.lit(1e-9)))

@@ -7,6 +7,7 @@ the boundary masks of all texts of an Arrow batch at once, or as a column expres
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -217,13 +218,68 @@ def chunk(df: DataFrame, strategy: str = "recursive", text_col: str = "text", ke
 
 
 def semantic_chunks(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), steps=None, **params) -> DataFrame:
-    """Semantic chunks; ``steps`` maps a column of sentence arrays to the similarities of neighbours (of hashed words by default)."""
+    """Semantic chunks; ``steps`` maps a column of sentence arrays to the similarities of neighbours (of hashed words by default).
+
+    With the default the sentences of all texts of an Arrow batch are hashed at once; else the expressions above are used.
+    """
     from veldra.functions.text import sentences
-    from veldra.operators.embed import hash_steps
 
-    rows = df.filter(F.length(text_col) > 0).select(*keep, F.col(text_col).alias("_text"), sentences(F.col(text_col)).alias("_some"))
-    rows = rows.withColumn("_steps", (steps or hash_steps)(F.col("_some")))
-    return number_chunks(rows.select(*keep, semantic(F.col("_text"), F.col("_some"), F.col("_steps"), **params).alias("chunks")), keep)
+    rows = df.filter(F.length(text_col) > 0)
+    if steps is not None:
+        rows = rows.select(*keep, F.col(text_col).alias("_text"), sentences(F.col(text_col)).alias("_some")).withColumn("_steps", steps(F.col("_some")))
+        rows = rows.select(*keep, semantic(F.col("_text"), F.col("_some"), F.col("_steps"), **params).alias("chunks"))
+    else:
+        rows = _semantic_rows(rows, keep, text_col, **params)
+    return number_chunks(rows, keep)
+
+
+#: White space as the expressions know it.
+BEHIND_STOP, OUTER = re.compile(r"(?<=[.!?])\s+", re.ASCII), " \t\n\r\x0b\x0c"
+
+
+def _semantic_rows(rows: DataFrame, keep: tuple[str, ...], text_col: str, threshold: float = 0.5, least: int = 100, most: int = 1000, dim: int = 64) -> DataFrame:
+    """``keep`` columns and the array ``chunks`` of texts that aren't empty."""
+    from veldra.operators.embed import hash_texts
+
+    kept = len(keep)
+
+    def pieces(text: str, some: list[str], split: list[bool]) -> list[str]:
+        if len(some) <= 1:
+            return [text]
+        segments: list[list[str]] = []
+        for sentence, fresh in zip(some, split):
+            if fresh:
+                segments.append([])
+            segments[-1].append(sentence)
+        out: list[str] = []
+        for s in map(" ".join, segments):
+            if len(s) > most:
+                out += [s[i : i + most] for i in range(0, len(s), most - least)]
+            elif len(s) < least and out:
+                out[-1] += " " + s
+            else:
+                out.append(s)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = string_column(batch.column(kept))
+            for x, y in slices(np.diff(raw_bytes(every)[1]), SLICE_BYTES):
+                texts = every.slice(x, y - x).to_pylist()
+                some = [[s for s in (p.strip(OUTER) for p in BEHIND_STOP.split(t)) if s] for t in texts]
+                ends = np.cumsum([len(z) for z in some])
+                v = hash_texts([s for z in some for s in z], dim)
+                split = np.ones(len(v), bool)
+                split[1:] = np.einsum("ij,ij->i", v[1:], v[:-1]) < threshold
+                split[ends[:-1][ends[:-1] < len(v)]] = True
+                split = split.tolist()
+                chunks = [pieces(t, z, split[e - len(z) : e]) for t, z, e in zip(texts, some, ends.tolist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(x, y - x) for i in range(kept)), pa.array(chunks, pa.list_(pa.string()))], names)
+
+    names = [f"_k{i}" for i in range(kept)] + ["chunks"]
+    picked = rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], text_col)
+    kinds = ", ".join([*(f"_k{i} {picked.schema[i].dataType.simpleString()}" for i in range(kept)), "chunks array<string>"])
+    return picked.mapInArrow(run, kinds).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
 def number_chunks(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:

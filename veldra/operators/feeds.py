@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.operators.ordered import first_seen
+from veldra.operators.ordered import first_seen, running_sum
+from veldra.sources.http import result_rows
 
 EARTH_M = 6_371_000.0
-#: Months of mail dates, kinds of eating places, parts of an address, beginnings of log lines.
+#: Months of mail dates, kinds of eating places, parts of an address, beginnings of log lines, the header line of a report.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 FOOD = "restaurant|cafe|fast_food|food_court"
 ADDRESS = ("addr:housenumber", "addr:street", "addr:city", "addr:state")
 LOG_LINE = "^(===|2026-)"
+REPORT_HEAD = r"^\[\d+\]\s+score=([\d.]+)\s*\|\s*doc=(.+)$"
 MAIL_DATE = r"^\s*(?:[A-Za-z]{3},\s+)?(\d{1,2})\s+([A-Z][a-z]{2})\s+(\d{4})\s+(\d{2}:\d{2}:\d{2})\s+(GMT|UTC|UT|[+-]\d{4})\s*$"
 
 
@@ -78,3 +81,25 @@ def address(tags: Column) -> Column:
 def unwrap(envelope: Column, tool: str) -> Column:
     """The payload of a nested tool answer."""
     return F.coalesce(F.get_json_object(envelope, f"$.{tool}_response.data"), F.get_json_object(envelope, f"$.{tool}_response"), F.get_json_object(envelope, "$.data"), envelope)
+
+
+def report_blocks(lines: DataFrame, group: str, position: str) -> DataFrame:
+    """Lines (``group``, ``position``, line) of a report folded into blocks: ``(group, block, score, doc_id, text)``.
+
+    A header begins a block, the text lines behind it are joined by blanks, log lines and what comes before the first header are left out.
+    """
+    marked = lines.withColumn("line", F.trim("line")).withColumn("head", F.col("line").rlike(REPORT_HEAD))
+    marked = running_sum(marked, group, position, F.col("head").cast("bigint"), "block").filter("block > 0")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & ~F.col("line").rlike(LOG_LINE), F.struct(position, "line")))), lambda x: x["line"]), " ")
+    out = marked.groupBy(group, "block").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("h"), text.alias("text"))
+    return out.select(group, "block", F.regexp_extract("h", REPORT_HEAD, 1).cast("double").alias("score"), F.trim(F.regexp_extract("h", REPORT_HEAD, 2)).alias("doc_id"), "text")
+
+
+def result_links(html: Column, most: int = 5) -> Column:
+    """Results of a search page as ARRAY<STRUCT<title, url, snippet>>."""
+
+    @F.pandas_udf("array<struct<title:string,url:string,snippet:string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: [dict(zip(("title", "url", "snippet"), r)) for r in result_rows(page or "", most)])
+
+    return run(html)

@@ -174,8 +174,8 @@ class Pipeline:
         """Prompt and answer of each question; a question without passages gets the fixed answer. The language model is ``call``, or the configured one, or none."""
         return self._answered(questions, self._prompts(self.rerank(self.search(questions))))
 
-    def answer_timed(self, questions: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-        """``answer`` with each stage written before the next, and the seconds of each and of all."""
+    def answer_timed(self, questions: DataFrame, observe: Callable[[str, float], None] | None = None) -> tuple[DataFrame, dict[str, float]]:
+        """``answer`` with each stage written before the next, and the seconds of each and of all; ``observe`` is told each stage as it ends."""
         began = time.perf_counter()
         seconds: dict[str, float] = {}
 
@@ -183,6 +183,8 @@ class Pipeline:
             at = time.perf_counter()
             out = materialize(df, name)
             seconds[name] = time.perf_counter() - at
+            if observe is not None:
+                observe(name, seconds[name])
             return out
 
         found = stage("retrieve", self.search(questions))

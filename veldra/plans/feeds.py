@@ -113,14 +113,15 @@ def parse_result_blocks(spark, d):
     """Report lines folded into blocks: a header begins one, the text lines behind it are joined, log lines are skipped."""
     kind = F.col("event_type")
     line = F.when(kind == "error", F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("] score="), F.format_string("%.2f", F.abs("value")), F.lit(" | doc=user-"), F.col("user_id").cast("string"))).when(kind == "click", F.concat(F.lit("=== "), kind)).when(F.col("event_id") % 11 == 0, F.concat(F.lit("2026-01-01 "), kind)).otherwise(F.concat(F.lit("    "), kind, F.lit(" "), "props"))
-    lines = _events(spark, d).select("user_id", "event_id", F.trim(line).alias("line"))
-    # fixed value: the header line of a report
-    header = r"^\[\d+\]\s+score=([\d.]+)\s*\|\s*doc=(.+)$"
-    marked = ordered.running_sum(lines.withColumn("head", F.col("line").rlike(header)), "user_id", "event_id", F.col("head").cast("bigint"), "block").filter("block > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & ~F.col("line").rlike(feeds.LOG_LINE), F.struct("event_id", "line")))), lambda x: x["line"]), " ")
-    heads = F.max(F.when(F.col("head"), F.col("line")))
-    out = marked.groupBy("user_id", "block").agg(heads.alias("h"), text.alias("text"))
-    return out.select("user_id", "block", F.regexp_extract("h", header, 1).cast("double").alias("score"), F.trim(F.regexp_extract("h", header, 2)).alias("doc_id"), "text")
+    return feeds.report_blocks(_events(spark, d).select("user_id", "event_id", line.alias("line")), "user_id", "event_id")
+
+
+def result_page(spark, d):
+    """Items written as a search page of one result each, and read from it."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    page = F.concat(F.lit('<div><a class="result__a" href="'), safe("url"), F.lit('">'), safe("title"), F.lit('</a><div class="result__snippet">'), F.coalesce(safe("source"), F.lit("")), F.lit("</div></div>"))
+    rows = _news(spark, d).filter("title is not null and url is not null").select("item_id", F.inline(feeds.result_links(page)))
+    return rows.select("item_id", "title", "url", "snippet")
 
 
 def _hours(spark, d) -> DataFrame:
@@ -261,7 +262,7 @@ def feed_volume(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        rfc2822, feed_dedupe, feed_dedupe_then_filter, recency_filter, latest_events, ci_dedupe, fallback_source, regex_filter, geo_radius, geo_candidates, tag_projection, html_snippet, html_title, html_links, json_extract, json_unwrap,
+        rfc2822, feed_dedupe, feed_dedupe_then_filter, recency_filter, latest_events, ci_dedupe, fallback_source, regex_filter, geo_radius, geo_candidates, tag_projection, html_snippet, html_title, html_links, result_page, json_extract, json_unwrap,
         parse_result_blocks, current_hour, alert_predicate, alert_outbox, banding, ttl_cache, secs_to_next_hour, tumbling_hourly, sessions, rate_limit, last_turns, latency_percentiles, threshold_exceedance, ttl_by_kind, alert_html, eval_summary, eval_trend, canary, pii_redact,
         recurrence, first_deviation, evidence_agreement, segment_bounds, feed_volume,
     )
@@ -314,6 +315,7 @@ ORACLES = {
     "html_snippet": "SELECT item_id, substring(regexp_replace(snippet, '<[^>]+>', '', 'g'), 1, 300) AS text FROM news_items WHERE snippet IS NOT NULL",
     "html_title": "SELECT item_id, regexp_extract(snippet, '<[a-z]+[^>]*>([^<]*)</', 1) AS title FROM news_items WHERE snippet IS NOT NULL",
     "html_links": "SELECT item_id, unnest(range(0, len(l))) AS pos, unnest(l) AS link FROM (SELECT item_id, regexp_extract_all(snippet, 'href=\"([^\"]*)\"', 1) AS l FROM news_items)",
+    "result_page": "SELECT item_id, t AS title, u AS url, s AS snippet FROM (SELECT item_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS u, trim(regexp_replace(coalesce(source, ''), '\\s+', ' ', 'g')) AS s FROM news_items) WHERE len(t) > 0 AND len(u) > 0",
     "json_extract": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "json_unwrap": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
     "parse_result_blocks": f"WITH l AS (SELECT *, regexp_matches(line, {_HEADER}) AS head FROM {_LINES}), b AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS block FROM l) SELECT user_id, block, regexp_extract(max(line) FILTER (WHERE head), {_HEADER}, 1)::DOUBLE AS score, trim(regexp_extract(max(line) FILTER (WHERE head), {_HEADER}, 2)) AS doc_id, coalesce(string_agg(line, ' ' ORDER BY event_id) FILTER (WHERE NOT head AND NOT starts_with(line, '===') AND NOT starts_with(line, '2026-')), '') AS text FROM b WHERE block > 0 GROUP BY user_id, block",

@@ -76,6 +76,13 @@ def mean_pool(spark, d):
     return rows.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
+def masked_pool(spark, d):
+    """Masked mean of each four vectors that follow one another, every third vector masked out."""
+    rows = _vectors(spark, d).groupBy(F.floor(F.col("vec_id") / 4).alias("four")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("some"))  # four at most
+    rows = rows.select("four", F.transform("some", lambda x: x["embedding"]).alias("v"), F.transform("some", lambda x: (x["vec_id"] % 3 > 0).cast("int")).alias("m"))
+    return rows.select("four", F.posexplode(vec.masked_mean(F.col("v"), F.col("m"))).alias("pos", "x")).select("four", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
 def _ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
@@ -259,6 +266,12 @@ def recall_at_k(spark, d):
     return _recall(_exact_ids(spark, d), found).select("queries", F.round("recall", 6).alias("recall"))
 
 
+def missed_neighbours(spark, d):
+    """The exact ten less those that the inverted file finds."""
+    found = ivf.search(_asked(spark, d), _vectors(spark, d), _trained(spark, d), K, PROBES).select("query_id", "id")
+    return _exact_ids(spark, d).join(found, ["query_id", "id"], "left_anti").select("query_id", F.col("id").alias("vec_id"))
+
+
 def hnsw_levels(spark, d):
     """Level of each node by the law of the graphs."""
 
@@ -285,8 +298,8 @@ def graph_expand(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dot_products, l2_distance, cosine_unnormalized, vector_norms, normalize, vector_scan_stats, vector_lookup, mean_pool, knn_exact, knn_batch, knn_filtered, knn_exclude, multi_query, knn_graph, ivf_assign, ivf_postings,
-        ivf_list_sizes, kmeans_step, kmeans_3, kmeans_shift, ivf_probe, ivf_search, ivf_roundtrip, ivf_add, index_add, index_recall, recall_at_k, hnsw_levels, hnsw_roundtrip, hnsw_search, graph_expand,
+        dot_products, l2_distance, cosine_unnormalized, vector_norms, normalize, vector_scan_stats, vector_lookup, mean_pool, masked_pool, knn_exact, knn_batch, knn_filtered, knn_exclude, multi_query, knn_graph, ivf_assign, ivf_postings,
+        ivf_list_sizes, kmeans_step, kmeans_3, kmeans_shift, ivf_probe, ivf_search, ivf_roundtrip, ivf_add, index_add, index_recall, recall_at_k, missed_neighbours, hnsw_levels, hnsw_roundtrip, hnsw_search, graph_expand,
     )
 }
 
@@ -337,6 +350,7 @@ ORACLES = {
     "vector_scan_stats": "SELECT count(*) AS n, count_if(embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)::BIGINT AS usable, count_if(embedding IS NULL)::BIGINT AS nulls, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM vector_store",
     "vector_lookup": "SELECT row_id, doc_row, chunk_offset, CASE WHEN NOT isnan(norm) THEN round(norm::DOUBLE, 5) END AS norm FROM vector_store WHERE row_id IN (SELECT row_id FROM chunks WHERE chunk_id = 0)",
     "mean_pool": f"SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(0, {DIM})) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, pos",
+    "masked_pool": f"SELECT four, pos, round(sum(x * m) / greatest(sum(m), 1e-9), 6) + 0.0 AS x FROM (SELECT vec_id // 4 AS four, CASE WHEN vec_id % 3 > 0 THEN 1 ELSE 0 END AS m, unnest(range(0, {DIM})) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY four, pos",
     "knn_exact": f"WITH {_ASKED} {_top(_search())}",
     "knn_batch": f"WITH {_ASKED} {_top(f'SELECT query_id, vec_id, {_LONG_DOT} / (sqrt({_DOT.format("qe", "qe")}) * (1 + query_id % 7) * sqrt({_DOT.format("embedding", "embedding")}) * (1 + vec_id % 7)) AS score FROM q, embeddings WHERE vec_id <> query_id')}",
     "knn_filtered": f"WITH {_ASKED} {_top(_search('label = ql'))}",
@@ -357,5 +371,6 @@ ORACLES = {
     "index_recall": "SELECT kind, (SELECT count(*) FROM vector_store WHERE row_id % 20 = 0 AND embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) AS queries, true AS found, true AS selective FROM (VALUES ('ivf'), ('hnsw')) t(kind)",
     "hnsw_roundtrip": f"SELECT vec_id, {4 * DIM}::BIGINT AS bytes, true AS linked FROM embeddings",
     "recall_at_k": f"WITH {_ASKED}, {_C3}, {_assigned(3)}, {_PROBED}, x AS ({_top(_search())}), y AS ({_top(_IVF)}), r AS (SELECT x.query_id, count(y.vec_id) / {K}.0::DOUBLE AS recall FROM x LEFT JOIN y USING (query_id, vec_id) GROUP BY x.query_id) SELECT count(*) AS queries, round(avg(recall), 6) AS recall FROM r",
+    "missed_neighbours": f"WITH {_ASKED}, {_C3}, {_assigned(3)}, {_PROBED}, x AS ({_top(_search())}), y AS ({_top(_IVF)}) SELECT query_id, vec_id FROM x ANTI JOIN y USING (query_id, vec_id)",
     "hnsw_levels": "WITH x0 AS (SELECT vec_id, (vec_id::UHUGEINT * 11400714819323198485 % 18446744073709551616)::UBIGINT AS x FROM embeddings), x1 AS (SELECT vec_id, (xor(x, x >> 29)::UHUGEINT * 13787848793156543929 % 18446744073709551616)::UBIGINT AS x FROM x0) SELECT vec_id, least(12, floor(-ln((xor(x, x >> 32)::DOUBLE + 1) / 18446744073709551616.0::DOUBLE) / ln(8.0)))::BIGINT AS level FROM x1",
 }
