@@ -34,7 +34,7 @@ def test_fallback(spark):
 
 
 @pytest.mark.parametrize("lat,lon", [(0.0, 179.99), (10.0, -179.99), (85.0, 20.0), (-60.0, 0.0)])
-def test_radius(spark, lat, lon):
+def test_radius(spark, monkeypatch, lat, lon):
     rng = random.Random(7)
     places = [(i, lat + rng.uniform(-0.08, 0.08), (lon + rng.uniform(-0.8, 0.8) + 180) % 360 - 180) for i in range(3000)] + [(9999, None, 1.0)]
     df = spark.createDataFrame(places, "rec bigint, lat double, lon double")
@@ -46,6 +46,8 @@ def test_radius(spark, lat, lon):
 
     want = sorted(i for i, a, b in places if a is not None and metres(a, b) <= 5000)
     assert want and sorted(r["rec"] for r in feeds.within(df, centres, 5000).collect()) == want
+    monkeypatch.setattr(feeds, "HOT_PLACES", 40)  # cells are cut, with the same result
+    assert sorted(r["rec"] for r in feeds.within(df, centres, 5000).collect()) == want
 
 
 def test_forecast(spark):

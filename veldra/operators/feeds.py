@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldra.operators.ordered import first_seen, running_sum
+from veldra.runtime import broadcast_checked, materialize
 from veldra.sources.http import result_rows
 
 EARTH_M = 6_371_000.0
@@ -56,10 +57,14 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+HOT_PLACES = 1_000_000  # places of a cell that are joined at once
+
+
 def within(places: DataFrame, centres: DataFrame, metres: float, cell: float = 0.1) -> DataFrame:
     """Centres (centre, clat, clon) with the places (lat, lon) around them and ``metres``: an equi-join over grid cells of degrees.
 
-    A centre is sent to every cell that its radius can reach; cells of longitude widen towards the poles and wrap round.
+    A centre is sent to every cell that its radius can reach; cells of longitude widen towards the poles and wrap round. Cells of
+    over ``HOT_PLACES`` places are cut by a hash of the position, and the centres sent to each cut.
     """
     reach = metres / EARTH_M * 57.29577951308232
     wide = F.least(F.lit(180.0), F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("clat")) + reach, F.lit(89.9)))), F.lit(1e-3)))
@@ -69,8 +74,15 @@ def within(places: DataFrame, centres: DataFrame, metres: float, cell: float = 0
     sent = centres.filter("clat is not null and clon is not null").select("*", F.explode(rows).alias("_y"), columns.alias("_xs"))
     sent = sent.select("centre", "clat", "clon", "_y", F.explode(F.array_distinct(F.transform("_xs", lambda x: F.pmod(x, F.lit(turns))))).alias("_x"))
     held = places.filter("lat is not null and lon is not null").withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.pmod(F.floor(F.col("lon") / cell), F.lit(turns))})
-    out = held.join(sent, ["_y", "_x"]).withColumn("metres", haversine(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")))
-    return out.filter(F.col("metres") <= metres).drop("_y", "_x")
+    hot = held.groupBy("_y", "_x").count().filter(F.col("count") > HOT_PLACES).select("_y", "_x", F.ceil(F.col("count") / HOT_PLACES).alias("_cuts"))
+    if hot.limit(1).count():
+        hot = broadcast_checked(materialize(hot, "cells"))
+        cuts = F.coalesce("_cuts", F.lit(1).cast("bigint"))
+        held = held.join(hot, ["_y", "_x"], "left").withColumn("_cut", F.pmod(F.xxhash64("lat", "lon"), cuts)).drop("_cuts")
+        sent = sent.join(hot, ["_y", "_x"], "left").withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("bigint"), cuts - 1))).drop("_cuts")
+    keys = [c for c in ("_y", "_x", "_cut") if c in held.columns]
+    out = held.join(sent, keys).withColumn("metres", haversine(F.col("clat"), F.col("clon"), F.col("lat"), F.col("lon")))
+    return out.filter(F.col("metres") <= metres).drop(*keys)
 
 
 def address(tags: Column) -> Column:
