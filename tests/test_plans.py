@@ -47,3 +47,22 @@ def test_broadcast_needs_a_checked_size(spark):
 def test_materialized_rows_lie_in_the_shared_folder(spark):
     df = materialize(spark.range(10).withColumnRenamed("id", "k"), "x")
     assert all(f.startswith(shared_dir(spark)) for f in df.inputFiles()) and df.count() == 10
+
+
+def test_only_probed_lists_are_read(spark, tmp_path):
+    """A search in a stored inverted file filters the scan by list, and trains nothing."""
+    from veldra.operators import indexes
+
+    rows = read_table(spark, DATA, "embeddings").selectExpr("vec_id AS id", "embedding")
+    index = indexes.build("ivf", rows, str(tmp_path / "i"), 64, lists=32, probes=1)
+    text = plan(index.search(rows.filter("id = 5").withColumnRenamed("id", "query_id"), 1))
+    assert "PushedFilters: [" in text and any("cid" in part.split("]")[0] for part in text.split("PushedFilters: [")[1:])
+
+
+@pytest.mark.parametrize("strategy", ["recursive", "fixed", "semantic"])
+def test_chunks_need_no_shuffle(spark, strategy):
+    from veldra.operators import chunking
+
+    text = plan(chunking.chunk(read_table(spark, DATA, "documents"), strategy))
+    assert "Exchange" not in text and text.count("MapInArrow") <= 1
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
